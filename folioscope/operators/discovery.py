@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold_label, fold_labels, label
 from folioscope.operators.ordered import carry_forward, page_bucket
+from folioscope.session import durable
 
 # The extraction patterns and word lists.
 FUND_TERM = (
@@ -224,10 +225,10 @@ def list_pages(tables: DataFrame) -> DataFrame:
     )
     relevant = flags.filter(F.col("opens") | F.col("continues"))
     before = relevant.select("document", (F.col("page") + 1).alias("page"), F.lit(True).alias("_adjacent"))
-    marked = relevant.join(before, ["document", "page"], "left").withColumn(
+    marked = durable(relevant.join(before, ["document", "page"], "left").withColumn(
         "_state",
         F.when(F.col("opens"), True).when(F.col("_adjacent").isNull(), False),
-    )
+    ))
     carried = carry_forward(marked, ["document"], [F.col("page")], page_bucket(), "_state", "active")
     previous = carried.filter("active").select("document", (F.col("page") + 1).alias("page"), F.lit(True).alias("_was"))
     return carried.join(previous, ["document", "page"], "left").select(
@@ -249,7 +250,8 @@ def _python_list(cells: Column) -> Column:
 
 def table_candidates(pages: DataFrame) -> DataFrame:
     """Names from the rows of accepted list tables."""
-    tables = list_tables(pages)
+    # tables with a name column are few next to the pages; they are read several times below
+    tables = durable(list_tables(pages))
     states = list_pages(tables).select("document", "page", "active_before")
     accepted = tables.join(states, ["document", "page"]).filter(
         F.col("page_lists") | (F.col("active_before") & F.col("has_page"))

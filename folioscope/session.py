@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+    """Cut lineage: write once to the folder the cluster names and read the table back.
 
-    Only when no folder is set at all (unit tests) is a scratch one created.
+    Survives lost executors, computes its input once and gives later joins real sizes. Only
+    when no folder is set at all (unit tests) is a scratch one created for the session.
     """
     spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
