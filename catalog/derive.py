@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.session import spread
 from folioscope.sources.layout import text_for_rag
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -18,7 +19,8 @@ PAGE_LINES = 10
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, df.columns[0])
 
 
 # --- SQL fragments ---------------------------------------------------------------------------

@@ -781,7 +781,7 @@ def chunks_in_page_range(spark, sf):
 def lexical_inputs(spark, sf):
     rows = D.chunk_rows(spark, sf).withColumn("lexical_text", tx.passage_text("section", "text"))
     rows = rows.withColumn("candidate_language", tx.detect_language("lexical_text"))
-    tokens = lexical.token_table(rows.select("chunk_ord", "fund", "candidate_language", "lexical_text"))
+    tokens = durable(lexical.token_table(rows.select("chunk_ord", "fund", "candidate_language", "lexical_text")))
     q = D.search_queries(spark, sf).withColumn("search_query", F.col("query"))
     return tokens, q.withColumn("query_language", tx.detect_language("query"))
 

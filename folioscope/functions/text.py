@@ -17,14 +17,20 @@ from pyspark.sql import types as T
 
 # Whitespace as Python sees it, edge characters trimmed from labels,
 # letter ranges used by the language rule, and the token shape.
-WHITESPACE = r"(?U)[\s\x1C-\x1F]+"
+SPACE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITESPACE = f"[{SPACE}]+"
 LABEL_EDGES = " \t\r\n:;,.\"'„“”"
 QUERY_EDGES = " \t\r\n,;:-"
-CYRILLIC = r"[\x{0400}-\x{04FF}]"
-LATIN = "[A-Za-z]"
+NOT_CYRILLIC = r"[^\x{0400}-\x{04FF}]+"
+NOT_LATIN = "[^A-Za-z]+"
 TOKEN = r"[\p{L}\p{N}_]+(?:[&+.-][\p{L}\p{N}_]+)*"
 
 
+def strip(value: Column | str) -> Column:
+    """Trim whitespace of any kind on both ends; inner whitespace stays."""
+    return F.regexp_replace(_col(value), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -92,12 +98,11 @@ def fold_labels(values: Column | str) -> Column:
 
 def words(value: Column | str) -> Column:
     """Whitespace-separated words; an empty text has none."""
-    return F.filter(F.split(squeeze(value), " "), lambda w: w != "")
+    return F.array_remove(F.split(squeeze(value), " "), "")
 
 
 def word_count(value: Column | str) -> Column:
-    text = squeeze(value)
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    return F.size(F.array_remove(F.split(squeeze(value), " "), ""))
 
 
 def tokens_of_folded(folded: Column | str) -> Column:
@@ -112,8 +117,8 @@ def tokenize(value: Column | str) -> Column:
 def detect_language(value: Column | str) -> Column:
     """``bg`` or ``en`` by the letter majority between Cyrillic and basic Latin, else ``mixed``."""
     text = F.coalesce(_col(value), F.lit(""))
-    cyrillic = F.regexp_count(text, F.lit(CYRILLIC))
-    latin = F.regexp_count(text, F.lit(LATIN))
+    cyrillic = F.length(F.regexp_replace(text, NOT_CYRILLIC, ""))
+    latin = F.length(F.regexp_replace(text, NOT_LATIN, ""))
     return (
         F.when(cyrillic > latin, "bg").when(latin > cyrillic, "en").otherwise("mixed")
     )
@@ -148,4 +153,4 @@ def percent(value: Column) -> Column:
 
 def sentences(value: Column | str) -> Column:
     """Split after sentence punctuation followed by whitespace."""
-    return F.split(_col(value), r"(?U)(?<=[.!?])\s+")
+    return F.split(_col(value), rf"(?<=[.!?])[{SPACE}]+")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import page_label
+from folioscope.functions.text import SPACE, page_label, strip
 from folioscope.operators.topk import chunk_identity, first_wins, top_k
 
 STATUSES = ("supported", "not_found", "ambiguous", "conflicting")
@@ -51,11 +51,11 @@ def evidence_rows(
     items = first.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("_n", *ITEM_COLUMNS))).alias("items")
     )
-    lead, trail = r"(?U)\A[\s\x1C-\x1F]+", r"(?U)[\s\x1C-\x1F]+\z"
+    trail = rf"[{SPACE}]+\z"
 
     def cut(item: Column, used: Column) -> Column:
         room = F.least(F.lit(max_chars_per_chunk), F.lit(max_total_chars) - used)
-        body = F.regexp_replace(F.regexp_replace(F.coalesce(item["text"], F.lit("")), lead, ""), trail, "")
+        body = strip(F.coalesce(item["text"], F.lit("")))
         return F.regexp_replace(F.left(body, room), trail, "")
 
     def with_text(item: Column, used: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import fold_label, fold_labels, label
+from folioscope.functions.text import SPACE, fold_label, fold_labels, label
 from folioscope.operators.ordered import carry_forward, page_bucket
 from folioscope.session import durable
 
@@ -162,7 +162,7 @@ def array_median(values: Column) -> Column:
 def title_candidates(pages: DataFrame) -> DataFrame:
     """A quoted, prominent first block of page 1 with fund wording nearby."""
     first_pages = pages.filter(
-        (F.col("page") == 1) & F.coalesce("text", F.lit("")).rlike(r'(?U)\A[\s\x1C-\x1F]*[„"]')
+        (F.col("page") == 1) & F.coalesce("text", F.lit("")).rlike(rf'\A[{SPACE}]*[„"]')
     )
     blocks = first_pages.select("document", "page", cleaned_blocks(F.col("text_blocks")).alias("b"))
     sizes = F.filter(F.transform("b", lambda b: b["font_size"]), lambda s: s.isNotNull() & (s != 0))

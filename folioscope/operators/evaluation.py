@@ -276,7 +276,7 @@ def document_health(pages: DataFrame) -> DataFrame:
     """Per document: pages, empty pages, characters, U+FFFD, tables, charts, images."""
     text = F.coalesce("text", F.lit(""))
     marks = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
-    blank = F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", "") == ""
+    blank = squeeze(text) == ""
     return pages.groupBy("document").agg(
         F.count("*").alias("parsed_pages"), F.count_if(blank).alias("empty_text_pages"),
         F.avg(blank.cast("int")).alias("empty_page_rate"),

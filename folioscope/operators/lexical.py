@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import tokens_of_folded, tokenize
 from folioscope.operators.names import routed
 from folioscope.operators.topk import top_k
+from folioscope.session import durable
 
 # Fixed values of the ranking formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -31,7 +32,8 @@ def corpus_totals(token_rows: DataFrame) -> DataFrame:
 
 def term_statistics(token_rows: DataFrame) -> DataFrame:
     """``term, df, idf`` with negative idf replaced by a share of the mean idf."""
-    df = (
+    # one pass over the tokens; the vocabulary is small next to them and is read twice below
+    df = durable(
         token_rows.select(F.explode(F.array_distinct("tokens")).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
@@ -85,7 +87,7 @@ def lexical_rank(token_rows: DataFrame, queries: DataFrame, pool_size: int, stat
     """Top ``pool_size`` chunks per query with ``lexical_rank``."""
     statistics = term_statistics(token_rows) if statistics is None else statistics
     avgdl = corpus_totals(token_rows).select("avgdl").scalar()
-    scores = bm25_scores(token_rows, query_terms(queries, statistics), avgdl)
+    scores = bm25_scores(token_rows, durable(query_terms(queries, statistics)), avgdl)
     return top_k(scores, ["query_id"], [F.col("bm25_score").desc(), F.col("chunk_ord")], pool_size, "lexical_rank")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import QUERY_EDGES, WHITESPACE, fold_label, fold_plain, squeeze
+from folioscope.session import durable
 
 BEFORE, AFTER = 3, 4  # characters kept around the first word gap of a needle
 
@@ -23,18 +24,28 @@ def alias_table(registry: DataFrame, fold=fold_label) -> DataFrame:
 
 
 def _needle_shape(needle: Column) -> tuple[Column, Column, Column]:
-    """(chars before gap, chars after gap, gram); a needle without a gap uses its head."""
-    gap = F.instr(needle, " ")
-    before = F.when(gap > 0, F.least(F.lit(BEFORE), gap - 1)).otherwise(0)
-    after = F.when(gap > 0, F.least(F.lit(AFTER), F.length(needle) - gap)).otherwise(
-        F.least(F.lit(AFTER), F.length(needle))
-    )
-    gram = F.when(gap > 0, F.substr(needle, gap - before, before + 1 + after)).otherwise(
-        F.substr(needle, F.lit(1), after)
-    )
+    """(chars before the first gap, chars after it, gram); a needle without a gap uses its head."""
+    words = F.split(needle, " ")
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    before = F.when(second.isNotNull(), F.least(F.lit(BEFORE), F.length(first))).otherwise(0)
+    after = F.least(F.lit(AFTER), F.length(F.coalesce(second, first)))
+    gram = F.when(
+        second.isNotNull(), F.concat(F.right(first, before), F.lit(" "), F.left(second, after))
+    ).otherwise(F.left(first, after))
     return before, after, gram
 
 
+def _grams(haystack: Column, before: int, after: int) -> Column:
+    """All grams of one shape: around every word gap, or every run of ``after`` characters."""
+    if before == 0:
+        return F.regexp_extract_all(haystack, F.lit(f"(?s)(?=(.{{{after}}}))"), F.lit(1))
+    words = F.split(haystack, " ")
+    return F.zip_with(
+        words, F.slice(words, F.lit(2), F.size(words)),
+        lambda a, b: F.concat(F.right(a, F.lit(before)), F.lit(" "), F.left(b, F.lit(after))),
+    )
+
+
 def find_substrings(texts: DataFrame, keys: Sequence[str], haystack: str, needles: DataFrame, needle: str) -> DataFrame:
     """Distinct (key, needle) pairs where the needle occurs anywhere inside the haystack.
 
@@ -50,9 +61,8 @@ def find_substrings(texts: DataFrame, keys: Sequence[str], haystack: str, needle
     shapes = sorted((r._b, r._a) for r in shaped.select("_b", "_a").distinct().collect())
     if not shapes:
         shapes = [(0, 1)]
-    patterns = [f"(?s)(?=([^ ]{{{b}}} .{{{a}}}))" if b else f"(?s)(?=(.{{{a}}}))" for b, a in shapes]
-    grams = F.array_distinct(
-        F.concat(*[F.regexp_extract_all(F.col(haystack), F.lit(p), F.lit(1)) for p in patterns])
+    grams = F.array_compact(
+        F.array_distinct(F.concat(*[_grams(F.col(haystack), b, a) for b, a in shapes]))
     )
     candidates = (
         texts.select(*keys, F.explode(grams).alias("_gram"))
@@ -122,7 +132,7 @@ def greedy_longest(matches: Column) -> Column:
 def detect_entities(queries: DataFrame, registry: DataFrame, query: str = "query") -> DataFrame:
     """Add ``query_funds``: entities named in each query, in order of first mention."""
     aliases = alias_table(registry, fold_plain)
-    folded = queries.select("query_id", fold_plain(query).alias("_folded"))
+    folded = durable(queries.select("query_id", fold_plain(query).alias("_folded")))
     pairs = find_substrings(folded, ["query_id"], "_folded", aliases, "alias_norm")
     size = F.length("alias_norm")
     places = F.filter(

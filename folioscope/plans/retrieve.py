@@ -57,7 +57,8 @@ class Retriever:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return token_table(self.chunks.select("chunk_ord", "fund", "candidate_language", "lexical_text"))
+        """Token lists of all chunks: the lexical index, built once and kept on storage."""
+        return durable(token_table(self.chunks.select("chunk_ord", "fund", "candidate_language", "lexical_text")))
 
     @cached_property
     def statistics(self) -> DataFrame:

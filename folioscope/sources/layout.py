@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions.geometry import covered_fraction
-from folioscope.functions.text import squeeze
+from folioscope.functions.text import squeeze, strip
 
 # Smallest chart region, fewest drawing primitives, largest table share.
 MIN_WIDTH, MIN_HEIGHT, MIN_PRIMITIVES, MAX_TABLE_SHARE = 120, 80, 10, 0.6
@@ -32,7 +32,6 @@ def text_blocks(raw_blocks: Column) -> Column:
         return F.filter(every, lambda s: squeeze(s["text"]) != "")
 
     kept = F.filter(raw_blocks, lambda b: (b["type"] == 0) & (F.size(spans(b)) > 0))
-    strip = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
     return F.transform(
         kept,
         lambda b: F.struct(
@@ -78,7 +77,7 @@ def text_for_rag(text: Column, page_tables: Column, page_charts: Column) -> Colu
         F.transform(page_charts, lambda c: rows_text(c["rows"])),
     )
     joined = F.array_join(parts, "\n\n", "")
-    return F.regexp_replace(joined, r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+    return strip(joined)
 
 
 def image_references(images: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,9 +168,8 @@ def decode_charts(charts: DataFrame, load_decoder: ChartDecoder) -> DataFrame:
 
 def assemble_pages(raw: DataFrame, charts: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """Page rows from raw layout ``document, page, text, raw_blocks, raw_tables``."""
-    strip = F.regexp_replace("text", r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
     pages = raw.select(
-        "document", "page", strip.alias("text"),
+        "document", "page", strip("text").alias("text"),
         text_blocks(F.col("raw_blocks")).alias("text_blocks"),
         tables(F.col("raw_tables")).alias("tables"),
     )
