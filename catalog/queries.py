@@ -403,14 +403,14 @@ def list_table_state(spark, sf):
 @query("registry_groups")
 def registry_groups(spark, sf):
     """Greedy clustering of every candidate name; checked against brute force in the tests."""
-    candidates = durable(discovery.extract_candidates(D.layout_pages(spark, sf)))
+    candidates = durable(discovery.extract_candidates(stored_pages(spark, sf)))
     entries, _ = registry.build_registry(candidates)
     return evaluation.registry_summary(entries)
 
 
 @query("registry_evidence")
 def registry_evidence(spark, sf):
-    candidates = durable(discovery.extract_candidates(D.layout_pages(spark, sf)))
+    candidates = durable(discovery.extract_candidates(stored_pages(spark, sf)))
     _, evidence = registry.build_registry(candidates)
     return evidence.groupBy("canonical_name", "method").agg(F.count("*").alias("rows"))
 
@@ -571,8 +571,12 @@ _ANCHOR_PARTS = (D.SQL_LAYOUT, D.SQL_UNITS, D.SQL_TITLE_REGISTRY, D.SQL_ANCHORS)
 _SEGMENT_PARTS = (*_ANCHOR_PARTS, D.SQL_SEGMENTS)
 
 
-def title_anchors(spark, sf):
-    pages = D.layout_pages(spark, sf)
+def stored_pages(spark, sf):
+    """The layout as a stage table, for queries that read it several times."""
+    return durable(D.layout_pages(spark, sf))
+
+
+def title_anchors(pages):
     return segmentation.find_anchors(pages, durable(D.title_registry(pages)))
 
 
@@ -581,7 +585,7 @@ def title_anchors(spark, sf):
     D.ctes(*_ANCHOR_PARTS) + "SELECT document, page, block_index, fund, segment_type, source FROM best",
 )
 def anchor_candidates(spark, sf):
-    pages = D.layout_pages(spark, sf)
+    pages = stored_pages(spark, sf)
     reg = durable(D.title_registry(pages))
     matched = durable(segmentation.match_blocks(segmentation.outside_blocks(pages), reg))
     every = segmentation.list_anchors(pages, reg, matched).unionByName(segmentation.heading_anchors(matched))
@@ -590,14 +594,14 @@ def anchor_candidates(spark, sf):
 
 @query("anchors", D.ctes(*_ANCHOR_PARTS) + "SELECT document, page, block_index, fund, segment_type, source FROM anchors")
 def anchors(spark, sf):
-    return title_anchors(spark, sf)
+    return title_anchors(stored_pages(spark, sf))
 
 
 def layout_segments(spark, sf):
-    pages = D.layout_pages(spark, sf)
+    pages = stored_pages(spark, sf)
     return pages, durable(
         segmentation.segment_documents(
-            pages, D.no_registry(spark), D.page_classes(pages), D.shared_relations(spark, sf), title_anchors(spark, sf)
+            pages, D.no_registry(spark), D.page_classes(pages), D.shared_relations(spark, sf), title_anchors(pages)
         )
     )
 
@@ -651,7 +655,7 @@ def suspicious_anchors(spark, sf):
     FROM titles t JOIN reg r ON r.alias_norm = {D.sql_fold_label('t.title')} WHERE t.page >= 2 GROUP BY ALL""",
 )
 def anchor_recall(spark, sf):
-    pages = D.layout_pages(spark, sf)
+    pages = stored_pages(spark, sf)
     reg = durable(D.title_registry(pages))
     gold = segmentation.list_references(pages, reg).select("fund", "page", F.lit("fund_section").alias("segment_type"))
     listed = pages.select("document", "page").filter("page >= 2")
@@ -807,7 +811,7 @@ def dense_inputs(spark, sf):
     rows = D.chunk_rows(spark, sf)
     rows = rows.withColumn("candidate_language", tx.detect_language(tx.passage_text("section", "text")))
     vectors = rows.select("chunk_ord", "fund", "candidate_language").join(D.vector_rows(spark, sf), "chunk_ord")
-    return vectors, D.search_queries(spark, sf)
+    return durable(vectors), D.search_queries(spark, sf)
 
 
 @query(
@@ -1199,13 +1203,13 @@ def index_metadata_differences(spark, sf):
 @query("corpus_chunks")
 def corpus_chunks(spark, sf):
     """Discovery, registry, classes, segments and chunks over the derived layout."""
-    built = build_corpus(D.layout_pages(spark, sf))
+    built = build_corpus(stored_pages(spark, sf))
     return built.chunks.withColumn("source_types", F.array_join("source_types", ","))
 
 
 @query("corpus_classes")
 def corpus_classes(spark, sf):
-    _, _, classes, _ = discover(D.layout_pages(spark, sf))
+    _, _, classes, _ = discover(stored_pages(spark, sf))
     return classes.groupBy("document_type").agg(F.count("*").alias("documents"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.topk import diversified, top_k
+from folioscope.session import durable
 
 SLICE = 2048  # queries per slice, about 16 MB of doubles at 1,024 dimensions
 SCORE_DIGITS = 9
@@ -135,6 +136,8 @@ def _rank_slice(slim, queries, pool_size, per_language_k, languages) -> DataFram
                 )
 
     local = slim.mapInArrow(run, SCHEMA)
+    if per_language_k:  # read several times below; at most (pool + quotas) rows per task and query
+        local = durable(local)
     order = [F.col("semantic_score").desc(), F.col("chunk_ord")]
     ranked = top_k(local, ["query_id"], order, pool_size, "semantic_rank")
     if not per_language_k:
@@ -153,6 +156,7 @@ def _exact_ranks(slim: DataFrame, shipped, few: DataFrame) -> DataFrame:
     ``few`` is bounded by queries per slice x languages x quota, so it travels to the tasks.
     """
     spark = slim.sparkSession
+    few = durable(few)
     table = few.select("query_id", "chunk_ord", "semantic_score").toArrow()
     thresholds: dict[str, list[tuple[float, int]]] = {}
     for qid, o, s in zip(*(table[c].to_pylist() for c in ("query_id", "chunk_ord", "semantic_score"))):

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import tokens_of_folded, tokenize
-from folioscope.operators.names import routed
 from folioscope.operators.topk import top_k
 from folioscope.session import durable
 
@@ -46,37 +45,47 @@ def term_statistics(token_rows: DataFrame) -> DataFrame:
     )
 
 
-def query_terms(queries: DataFrame, statistics: DataFrame, text: str = "search_query") -> DataFrame:
-    """Query terms known to the corpus with multiplicity and idf."""
+def query_terms(queries: DataFrame, text: str = "search_query") -> DataFrame:
+    """``query_id, query_language, route, term, qtf``: one row per pool the query may use.
+
+    ``route`` is an entity, or NULL for the entity-free pool. A chunk has one owner, so it meets
+    a query through at most one route.
+    """
     return (
         queries.select("query_id", "query_funds", "query_language", F.explode(tokenize(text)).alias("term"))
         .groupBy("query_id", "query_funds", "query_language", "term")
         .agg(F.count("*").alias("qtf"))
-        .join(statistics.select("term", "idf"), "term")
+        .select("query_id", "query_language", F.explode_outer("query_funds").alias("route"), "term", "qtf")
+    )
+
+
+def compatible(query_language: str = "query_language", language: str = "candidate_language"):
+    """Language gate: a mixed query sees everything, others their own language and mixed."""
+    return (
+        (F.col(query_language) == "mixed") | (F.col(language) == "mixed") | (F.col(language) == F.col(query_language))
     )
 
 
 def bm25_scores(token_rows: DataFrame, terms: DataFrame, avgdl) -> DataFrame:
     """``query_id, chunk_ord, bm25_score`` for routed, language-compatible, positive chunks.
 
-    ``token_rows`` needs ``chunk_ord, fund, candidate_language, tokens, dl``.
+    ``token_rows`` needs ``chunk_ord, fund, candidate_language, tokens, dl``; ``terms`` comes
+    from ``query_terms`` with ``idf`` added. Term and owner are both join keys, so a common
+    word only meets the queries that may use that chunk.
     """
-    vocabulary = terms.select("term").distinct()
+    needed = terms.select("term", "route").distinct()
+    tokens = token_rows.select("chunk_ord", "fund", "candidate_language", "dl", F.explode("tokens").alias("term"))
     postings = (
-        token_rows.select("chunk_ord", "fund", "candidate_language", "dl", F.explode("tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
+        tokens.join(needed, (tokens.term == needed.term) & tokens.fund.eqNullSafe(needed.route), "left_semi")
         .repartition("chunk_ord")
         .groupBy("chunk_ord", "fund", "candidate_language", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
     tf = F.col("tf").cast("double")
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    gate = (F.col("query_language") == "mixed") | F.col("candidate_language").isin("mixed") | (
-        F.col("candidate_language") == F.col("query_language")
-    )
     return (
-        postings.join(terms, "term")
-        .filter(gate & routed(F.col("fund"), F.col("query_funds")))
+        postings.join(terms, (postings.term == terms.term) & postings.fund.eqNullSafe(terms.route))
+        .filter(compatible())
         .groupBy("chunk_ord", "query_id")
         .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), SCORE_DIGITS).alias("bm25_score"))
         .filter(F.col("bm25_score") > 0)
@@ -87,25 +96,20 @@ def lexical_rank(token_rows: DataFrame, queries: DataFrame, pool_size: int, stat
     """Top ``pool_size`` chunks per query with ``lexical_rank``."""
     statistics = term_statistics(token_rows) if statistics is None else statistics
     avgdl = corpus_totals(token_rows).select("avgdl").scalar()
-    scores = bm25_scores(token_rows, durable(query_terms(queries, statistics)), avgdl)
+    terms = durable(query_terms(queries).join(statistics.select("term", "idf"), "term"))
+    scores = bm25_scores(token_rows, terms, avgdl)
     return top_k(scores, ["query_id"], [F.col("bm25_score").desc(), F.col("chunk_ord")], pool_size, "lexical_rank")
 
 
 def shared_token_rank(token_rows: DataFrame, queries: DataFrame, pool_size: int) -> DataFrame:
     """Drop-in for ``lexical_rank`` that scores by the number of distinct shared tokens."""
-    terms = (
-        queries.select("query_id", "query_funds", "query_language", F.explode(tokenize("search_query")).alias("term"))
-        .distinct()
-    )
-    gate = (F.col("query_language") == "mixed") | F.col("candidate_language").isin("mixed") | (
-        F.col("candidate_language") == F.col("query_language")
+    terms = query_terms(queries)
+    tokens = token_rows.select(
+        "chunk_ord", "fund", "candidate_language", F.explode(F.array_distinct("tokens")).alias("term")
     )
     scores = (
-        token_rows.select(
-            "chunk_ord", "fund", "candidate_language", F.explode(F.array_distinct("tokens")).alias("term")
-        )
-        .join(terms, "term")
-        .filter(gate & routed(F.col("fund"), F.col("query_funds")))
+        tokens.join(terms, (tokens.term == terms.term) & tokens.fund.eqNullSafe(terms.route))
+        .filter(compatible())
         .groupBy("chunk_ord", "query_id")
         .agg(F.count("*").cast("double").alias("bm25_score"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import QUERY_EDGES, WHITESPACE, fold_label, fold_plain, squeeze
 from folioscope.session import durable
 
-BEFORE, AFTER = 3, 4  # characters kept around the first word gap of a needle
+GRAM = 4  # characters kept on each side of a word gap
 
 
 def alias_table(registry: DataFrame, fold=fold_label) -> DataFrame:
@@ -23,47 +23,59 @@ def alias_table(registry: DataFrame, fold=fold_label) -> DataFrame:
     )
 
 
-def _needle_shape(needle: Column) -> tuple[Column, Column, Column]:
-    """(chars before the first gap, chars after it, gram); a needle without a gap uses its head."""
+def _needle_gram(needle: Column) -> Column:
+    """``n`` and ``gram`` of a needle: its word gap with the most characters on both sides.
+
+    ``n`` characters are taken before and after the gap. A needle without a gap has ``n = 0``
+    and uses its head.
+    """
     words = F.split(needle, " ")
-    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    before = F.when(second.isNotNull(), F.least(F.lit(BEFORE), F.length(first))).otherwise(0)
-    after = F.least(F.lit(AFTER), F.length(F.coalesce(second, first)))
-    gram = F.when(
-        second.isNotNull(), F.concat(F.right(first, before), F.lit(" "), F.left(second, after))
-    ).otherwise(F.left(first, after))
-    return before, after, gram
-
-
-def _grams(haystack: Column, before: int, after: int) -> Column:
-    """All grams of one shape: around every word gap, or every run of ``after`` characters."""
-    if before == 0:
-        return F.regexp_extract_all(haystack, F.lit(f"(?s)(?=(.{{{after}}}))"), F.lit(1))
-    words = F.split(haystack, " ")
-    return F.zip_with(
-        words, F.slice(words, F.lit(2), F.size(words)),
-        lambda a, b: F.concat(F.right(a, F.lit(before)), F.lit(" "), F.left(b, F.lit(after))),
+    gaps = F.zip_with(
+        F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)),
+        lambda a, b: F.struct(
+            F.least(F.length(a), F.length(b), F.lit(GRAM)).alias("n"), F.concat(a, F.lit(" "), b).alias("gram"),
+            F.length(a).alias("cut"),
+        ),
     )
+    best = F.array_max(gaps)
+    cut = F.substr(best["gram"], best["cut"] - best["n"] + 1, best["n"] * 2 + 1)
+    none = F.struct(F.lit(0).alias("n"), F.left(needle, F.lit(GRAM)).alias("gram"))
+    return F.when(F.size(words) > 1, F.struct(best["n"].alias("n"), cut.alias("gram"))).otherwise(none)
+
+
+def _grams(haystack: Column, sizes: Sequence[int], heads: Sequence[int]) -> Column:
+    """Distinct grams of a text: around every word gap, and every run of each head length."""
+
+    def gap(n: int):
+        return lambda a, b: F.concat(F.right(a, F.lit(n)), F.lit(" "), F.left(b, F.lit(n)))
+
+    def around(w: Column) -> Column:
+        return F.concat(*[F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), gap(n)) for n in sizes])
+
+    parts = [F.regexp_extract_all(haystack, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in heads]
+    if sizes:  # the one-element array lets every gram size share a single split
+        parts.append(F.flatten(F.transform(F.array(F.split(haystack, " ")), around)))
+    return F.array_compact(F.array_distinct(F.concat(*parts)))
 
 
 def find_substrings(texts: DataFrame, keys: Sequence[str], haystack: str, needles: DataFrame, needle: str) -> DataFrame:
     """Distinct (key, needle) pairs where the needle occurs anywhere inside the haystack.
 
-    Every needle has one short gram around its first word gap; texts are exploded to their
-    grams of the same shapes and met by an equi-join, then verified. No text x needle product
+    Every needle has one short gram around one of its word gaps; texts are exploded to their
+    grams of the same sizes and met by an equi-join, then verified. No text x needle product
     arises, and Spark may broadcast the needle side or not as its size allows.
     """
     keys = list(keys)
-    before, after, gram = _needle_shape(F.col(needle))
-    shaped = needles.select(
-        F.col(needle).alias("_needle"), before.alias("_b"), after.alias("_a"), gram.alias("_gram")
+    gram = _needle_gram(F.col(needle))
+    shaped = needles.select(F.col(needle).alias("_needle"), gram.alias("_g")).select(
+        "_needle", "_g.n", F.col("_g.gram").alias("_gram")
     ).distinct()
-    shapes = sorted((r._b, r._a) for r in shaped.select("_b", "_a").distinct().collect())
-    if not shapes:
-        shapes = [(0, 1)]
-    grams = F.array_compact(
-        F.array_distinct(F.concat(*[_grams(F.col(haystack), b, a) for b, a in shapes]))
-    )
+    kinds = shaped.select("n", F.when(F.col("n") == 0, F.length("_gram")).otherwise(0).alias("head")).distinct()
+    found = [(r.n, r.head) for r in kinds.collect()]  # at most a handful of gram shapes
+    sizes, heads = sorted(n for n, _ in found if n), sorted(h for n, h in found if not n)
+    if not found:
+        heads = [1]
+    grams = _grams(F.col(haystack), sizes, heads)
     candidates = (
         texts.select(*keys, F.explode(grams).alias("_gram"))
         .join(shaped.select("_needle", "_gram"), "_gram")

@@ -49,11 +49,17 @@ class Retriever:
         self.chunks = chunks.withColumn("lexical_text", passage_text("section", "text"))
         if "candidate_language" not in chunks.columns:
             self.chunks = self.chunks.withColumn("candidate_language", detect_language("lexical_text"))
-        self.vectors = None
-        if vectors is not None:
-            self.vectors = self.chunks.select("chunk_ord", "fund", "candidate_language").join(
-                vectors.select("chunk_ord", "embedding"), "chunk_ord"
-            )
+        self._vectors = vectors
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """Vectors with owner and language; a stored index already carries both, without a join."""
+        if self._vectors is None:
+            raise ValueError("semantic ranking needs vectors")
+        if {"fund", "candidate_language"} <= set(self._vectors.columns):
+            return self._vectors
+        owners = self.chunks.select("chunk_ord", "fund", "candidate_language")
+        return durable(owners.join(self._vectors.select("chunk_ord", "embedding"), "chunk_ord"))
 
     @cached_property
     def tokens(self) -> DataFrame:
