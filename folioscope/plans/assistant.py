@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import assembly
 from folioscope.operators.names import detect_entities, strip_entities
 from folioscope.operators.topk import interleave
+from folioscope.plans.index import stored_vectors
 from folioscope.plans.retrieve import Retriever
 from folioscope.session import durable
 from folioscope.sources.artifacts import read_table, require_artifacts
@@ -76,7 +77,7 @@ def load_retriever(spark: SparkSession, root: str, **options) -> Retriever:
     model = read_table(spark, root, "index_metadata").first().model_name
     return Retriever(
         read_table(spark, root, "chunks"), read_table(spark, root, "registry"),
-        read_table(spark, root, "vectors"), model_name=model, **options,
+        stored_vectors(spark, root), model_name=model, **options,
     )
 
 
