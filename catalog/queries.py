@@ -721,9 +721,11 @@ def section_headings(spark, sf):
         "document", "segment_index", "page", "body_size",
         F.explode(chunking.split_units(F.col("units"), D.MAX_WORDS - D.OVERLAP)).alias("u"),
     )
-    heading = chunking.is_heading(F.col("u.text"), F.col("u.source_type"), F.col("u.font_size"), F.col("u.bold"), F.col("body_size"))
+    heading = chunking.is_heading(
+        F.col("u.text"), F.col("u.words"), F.col("u.source_type"), F.col("u.font_size"), F.col("u.bold"), F.col("body_size")
+    )
     return parts.groupBy("document", "segment_index", "page").agg(
-        F.count("*").alias("n_parts"), F.count_if(heading).alias("headings"), F.sum(tx.word_count("u.text")).alias("words")
+        F.count("*").alias("n_parts"), F.count_if(heading).alias("headings"), F.sum("u.words").alias("words")
     )
 
 

@@ -29,6 +29,10 @@ RELATIONS = (
     r"(?imUd)(?:^|[.!?]\s+|\n\n)\s*([A-ZА-ЯЁ„“][^.!?\n]{4,180}?)\s+(?:which\s+)?"
     r"(?:is|constitutes|represents)\s+(?:an?\s+)?(?:sub[- ]?fund|fund)\b",
 )
+RELATION_ENDINGS = (
+    r"(?iU)\sе\s+(?:подфонд|фонд)\b",
+    r"(?iU)\s(?:is|constitutes|represents)\s+(?:an?\s+)?(?:sub[- ]?fund|fund)\b",
+)
 LABEL = (
     r"(?iUd)^(?:product(?:\s+name)?|fund\s+name|sub[- ]?fund\s+name|"
     r"продукт|име\s+на\s+(?:фонда|подфонда)|"
@@ -93,19 +97,23 @@ def _seq(major: Column, minor: Column) -> Column:
     return major.cast("long") * 1_000_000 + minor.cast("long")
 
 
-def relation_candidates(pages: DataFrame, patterns: tuple[str, ...] = RELATIONS) -> DataFrame:
-    """``<name> is a fund`` statements, every match of every pattern."""
+def relation_candidates(
+    pages: DataFrame, patterns: tuple[str, ...] = RELATIONS, endings: tuple[str, ...] = RELATION_ENDINGS
+) -> DataFrame:
+    """``<name> is a fund`` statements, every match of every pattern.
+
+    ``endings`` are necessary conditions, one per pattern.
+    """
     text = F.coalesce("text", F.lit(""))
-    relevant = pages.filter(text.rlike("(?iu)fund|фонд"))
     found = None
-    for i, pattern in enumerate(patterns):
-        pairs = F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("name"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-        )
-        part = relevant.select("document", "page", F.posexplode(pairs).alias("pos", "m")).select(
-            label("m.name").alias("name"), "document", "page", F.lit("relation").alias("method"),
-            _evidence(F.col("m.match")).alias("evidence"), _seq(F.lit(i), F.col("pos")).alias("seq"),
+    for i, (pattern, ending) in enumerate(zip(patterns, endings)):
+        # the fixed ending alone rules out almost every page before the lazy pattern runs
+        relevant = pages.filter(text.rlike(ending))
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        part = relevant.select("document", "page", F.posexplode(matches).alias("pos", "m")).select(
+            label(F.regexp_extract("m", pattern, 1)).alias("name"), "document", "page",
+            F.lit("relation").alias("method"), _evidence(F.col("m")).alias("evidence"),
+            _seq(F.lit(i), F.col("pos")).alias("seq"),
         )
         found = part if found is None else found.unionByName(part)
     return found

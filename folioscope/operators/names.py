@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import QUERY_EDGES, WHITESPACE, fold_label, fold_plain, squeeze
 from folioscope.session import durable
 
-GRAM = 4  # characters kept on each side of a word gap
+HEAD = 4  # characters of a needle without any gap
+GRAMS = (3, 1)  # characters kept on each side of a word gap: usual, and for very short words
 
 
 def alias_table(registry: DataFrame, fold=fold_label) -> DataFrame:
@@ -26,20 +27,20 @@ def alias_table(registry: DataFrame, fold=fold_label) -> DataFrame:
 def _needle_gram(needle: Column) -> Column:
     """``n`` and ``gram`` of a needle: its word gap with the most characters on both sides.
 
-    ``n`` characters are taken before and after the gap. A needle without a gap has ``n = 0``
-    and uses its head.
+    ``n`` characters (one of ``GRAMS``) are taken before and after the gap. A needle without a
+    gap has ``n = 0`` and uses its head.
     """
     words = F.split(needle, " ")
     gaps = F.zip_with(
         F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)),
         lambda a, b: F.struct(
-            F.least(F.length(a), F.length(b), F.lit(GRAM)).alias("n"), F.concat(a, F.lit(" "), b).alias("gram"),
+            F.when(F.least(F.length(a), F.length(b)) >= GRAMS[0], GRAMS[0]).otherwise(GRAMS[1]).alias("n"), F.concat(a, F.lit(" "), b).alias("gram"),
             F.length(a).alias("cut"),
         ),
     )
     best = F.array_max(gaps)
     cut = F.substr(best["gram"], best["cut"] - best["n"] + 1, best["n"] * 2 + 1)
-    none = F.struct(F.lit(0).alias("n"), F.left(needle, F.lit(GRAM)).alias("gram"))
+    none = F.struct(F.lit(0).alias("n"), F.left(needle, F.lit(HEAD)).alias("gram"))
     return F.when(F.size(words) > 1, F.struct(best["n"].alias("n"), cut.alias("gram"))).otherwise(none)
 
 

@@ -58,8 +58,15 @@ class Retriever:
             raise ValueError("semantic ranking needs vectors")
         if {"fund", "candidate_language"} <= set(self._vectors.columns):
             return self._vectors
-        owners = self.chunks.select("chunk_ord", "fund", "candidate_language")
-        return durable(owners.join(self._vectors.select("chunk_ord", "embedding"), "chunk_ord"))
+        return durable(self.owners.join(self._vectors.select("chunk_ord", "embedding"), "chunk_ord"))
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        """Owner and language per chunk, read from the token index when that exists."""
+        columns = ["chunk_ord", "fund", "candidate_language"]
+        if "tokens" in self.__dict__:
+            return self.tokens.select(*columns)
+        return durable(self.chunks.select(*columns))
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -74,7 +81,7 @@ class Retriever:
     @cached_property
     def pool_languages(self) -> DataFrame:
         """Languages seen per entity: a small table that answers every pool question."""
-        return durable(self.chunks.select("fund", "candidate_language").distinct())
+        return durable(self.owners.select("fund", "candidate_language").distinct())
 
     def resolve(self, queries: DataFrame, mode: str = "auto") -> DataFrame:
         """Add entities, search text, language and effective mode; empty pools drop out."""
@@ -121,6 +128,8 @@ class Retriever:
         candidate_k: int = 50, global_k: int = 30, per_language_k: int = 10,
     ) -> DataFrame:
         """Top ``k`` chunks per query with scores, ranks and the route taken."""
+        if mode in ("auto", "lexical", "hybrid"):
+            _ = self.tokens  # built first, so that owners and languages come from it
         resolved = self.resolve(queries, mode)
         if mode == "lexical":
             resolved = durable(resolved)
