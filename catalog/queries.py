@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1004,19 +1005,53 @@ def retrieval_summary(spark, sf):
     return s.select("direction", *[F.round(c, 6).alias(c) for c in s.columns if c not in ("direction", "cases")], "cases")
 
 
+# the same evaluation over the dense ranking
+_EVAL_SEMANTIC = re.sub(r"\b(top|texts|seen|scored|evald)\b", r"\1_s", _EVAL.split("terms AS (")[0]) + re.sub(
+    r"\b(top|texts|seen|scored|evald)\b", r"\1_s", "seen AS (" + _EVAL.split("seen AS (")[1]
+)
+_EVAL_SEMANTIC = _EVAL_SEMANTIC.replace(
+    "SELECT query_id, chunk_ord, lexical_rank FROM lex WHERE lexical_rank <= 5",
+    "SELECT query_id, chunk_ord, semantic_rank AS lexical_rank FROM sem WHERE semantic_rank <= 5",
+)
+_BOTH = (D.SQL_CHUNKS, D.SQL_QUERIES, D.SQL_BM25, D.SQL_DENSE, _EVAL, _EVAL_SEMANTIC)
+
+
+def both_evaluations(spark, sf):
+    vectors, q = dense_inputs(spark, sf)
+    semantic = dense.semantic_rank(vectors, q, 5).withColumn("rank", F.col("semantic_rank"))
+    semantic = semantic.drop("candidate_language").join(D.chunk_rows(spark, sf), "chunk_ord")
+    gold = cases(spark, sf)
+    return (
+        evaluation.evaluate_retrieval(lexical_results(spark, sf), gold, 5),
+        evaluation.evaluate_retrieval(semantic, gold, 5),
+    )
+
+
 @query(
     "retrieval_gains",
-    D.ctes(D.SQL_CHUNKS, D.SQL_QUERIES, D.SQL_BM25, _EVAL) + """SELECT query_id, round(evidence_coverage, 6) AS base_coverage, round(rr, 6) AS base_rr,
-      0.0 AS coverage_gain, 0.0 AS rr_gain FROM evald""",
+    D.ctes(*_BOTH) + """SELECT query_id, round(a.evidence_coverage, 6) AS base_coverage, round(a.rr, 6) AS base_rr,
+      round(b.evidence_coverage - a.evidence_coverage, 6) AS coverage_gain, round(b.rr - a.rr, 6) AS rr_gain FROM evald a JOIN evald_s b USING (query_id)""",
 )
 def retrieval_gains(spark, sf):
-    got = durable(evaluation.evaluate_retrieval(lexical_results(spark, sf), cases(spark, sf), 5))
-    return evaluation.compare_runs(got, got).select(
-        "query_id", F.round("base_coverage", 6).alias("base_coverage"), F.round("base_rr", 6).alias("base_rr"),
-        F.round("coverage_gain", 6).alias("coverage_gain"), F.round("rr_gain", 6).alias("rr_gain"),
+    base, other = both_evaluations(spark, sf)
+    return evaluation.compare_runs(base, other).select(
+        "query_id", *[F.round(c, 6).alias(c) for c in ("base_coverage", "base_rr", "coverage_gain", "rr_gain")]
     )
 
 
+@query(
+    "mode_summary",
+    D.ctes(*_BOTH) + """SELECT mode, round(avg(source_hit::INT), 6) AS source_recall, round(avg(evidence_coverage), 6) AS mean_evidence_coverage,
+      round(avg(all_evidence::INT), 6) AS full_evidence_recall, round(avg(rr), 6) AS mrr, count(*) AS cases
+      FROM (SELECT 'lexical' AS mode, * FROM evald UNION ALL SELECT 'semantic', * FROM evald_s) GROUP BY mode""",
+)
+def mode_summary(spark, sf):
+    base, other = both_evaluations(spark, sf)
+    runs = base.withColumn("mode", F.lit("lexical")).unionByName(other.withColumn("mode", F.lit("semantic")))
+    s = evaluation.summarise_retrieval(runs, "mode")
+    return s.select("mode", *[F.round(c, 6).alias(c) for c in s.columns if c not in ("mode", "cases")], "cases")
+
+
 # --- assembly --------------------------------------------------------------------------------
 
 def turn_rows(spark, sf):

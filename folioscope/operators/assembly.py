@@ -231,6 +231,14 @@ def results(answers: DataFrame, sources: DataFrame, debug: bool = False) -> Data
     )
 
 
+def with_retrieved(result_rows: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Add the retrieved rows of each query as an array in prompt order (a few rows per query)."""
+    rows = retrieved.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", *ITEM_COLUMNS))).alias("retrieved")
+    )
+    return result_rows.join(rows, "query_id", "left")
+
+
 def answer_json(result_rows: DataFrame) -> DataFrame:
     """The public output: answer, entities and ``document, page, section`` of each source."""
     sources = F.transform("sources", lambda s: F.struct(s["document"].alias("document"), s["page"].alias("page"), s["section"].alias("section")))

@@ -53,14 +53,17 @@ class Assistant:
         evidence = durable(assembly.evidence_rows(retrieved, *self.budget))
         return retrieved, evidence, assembly.prompts(queries, evidence)
 
-    def answer(self, queries: DataFrame, debug: bool = False, keep_errors: bool = False) -> DataFrame:
+    def answer(
+        self, queries: DataFrame, debug: bool = False, keep_errors: bool = False, include_retrieved: bool = False
+    ) -> DataFrame:
         """One result row per question; see ``assembly.results``."""
-        _, evidence, prompted = self.evidence(queries)
+        retrieved, evidence, prompted = self.evidence(queries)
         generated = assembly.generate_answers(prompted, self.load_generator, keep_errors)
         # a generator call is expensive and not repeatable: keep its outcome
         generated = durable(assembly.validate_answers(generated, strict=not keep_errors))
         answers = generated.unionByName(assembly.unanswered(prompted))
-        return assembly.results(answers, assembly.cited_sources(answers, evidence), debug)
+        result = assembly.results(answers, assembly.cited_sources(answers, evidence), debug)
+        return assembly.with_retrieved(result, retrieved) if include_retrieved else result
 
     def ask(self, queries: DataFrame) -> DataFrame:
         """The public JSON output; blank questions are refused."""

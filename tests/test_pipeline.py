@@ -77,3 +77,29 @@ def test_named_entity_routes_to_its_chunks(spark, corpus):
     got = retriever.retrieve(queries, 3, "lexical").collect()
     assert {r.fund for r in got} == {"Willow Bond Fund"} and got[0].route == "fund"
     assert got[0].query_funds == ["Willow Bond Fund"] and "Willow" not in got[0].search_query
+
+
+def test_stored_corpus_answers_in_auto_and_reranked_mode(spark, corpus, tmp_path):
+    from folioscope.plans.assistant import build_assistant, load_retriever
+    from folioscope.plans.index import load_or_build_vectors, save_corpus
+
+    def encoder():
+        return lambda texts: [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+    def generator():
+        return lambda prompt: ({"status": "supported", "answer": "ok", "evidence_ids": ["E1"]}, "raw")
+
+    def reranker():
+        return lambda query, passages: [float(len(set(query.lower().split()) & set(p.lower().split()))) for p in passages]
+
+    root = str(tmp_path)
+    save_corpus(corpus, root)
+    load_or_build_vectors(spark, corpus.chunks, root, encoder)
+    assistant = build_assistant(spark, root, generator, load_encoder=encoder)
+    q = spark.createDataFrame([("q", "May holders pass their units to any other person?")], "query_id STRING, query STRING")
+    row = assistant.answer(q, debug=True, include_retrieved=True).first()
+    assert row.sources[0].document == "rights.pdf" and row.raw_model_output == "raw"
+    assert row.retrieved[0].document == "rights.pdf" and "QUESTION:\nMay holders" in row.prompt
+    ranked = load_retriever(spark, root, load_encoder=encoder, load_reranker=reranker).retrieve(q, 2, "reranked").collect()
+    assert min(ranked, key=lambda r: r["rank"]).document == "rights.pdf"
+    assert all(r.fund is None and r.effective_mode == "reranked" and r.candidate_dense_rank for r in ranked)
