@@ -423,9 +423,9 @@ mentioned AS (SELECT DISTINCT 'doc_' || doc_id AS document, canonical_name FROM
 
 def passage_mentions(spark, sf):
     texts = D.read(spark, sf, "documents").select(
-        F.concat(F.lit("doc_"), "doc_id").alias("document"), tx.fold_label("text").alias("folded")
+        F.concat(F.lit("doc_"), "doc_id").alias("document"), "text"
     )
-    return names.mentions(texts, ["document"], "folded", D.passage_registry(spark, sf))
+    return names.mentions(texts, ["document"], "text", D.passage_registry(spark, sf), tx.fold_label)
 
 
 @query("entity_mentions", D.ctes(D.SQL_PASSAGES, _MENTIONS) + "SELECT document, canonical_name FROM mentioned")
@@ -484,8 +484,9 @@ def document_classes(spark, sf):
 )
 def best_spelling(spark, sf):
     aliases = names.alias_table(D.passage_registry(spark, sf))
-    texts = D.read(spark, sf, "documents").select("doc_id", tx.fold_label("text").alias("folded"))
-    return names.best_match(names.find_substrings(texts, ["doc_id"], "folded", aliases, "alias_norm"), ["doc_id"], aliases)
+    texts = D.read(spark, sf, "documents").select("doc_id", "text")
+    pairs = names.find_substrings(texts, ["doc_id"], "text", aliases, "alias_norm", tx.fold_label)
+    return names.best_match(pairs, ["doc_id"], aliases)
 
 
 @query(

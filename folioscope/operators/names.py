@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +59,15 @@ def _grams(haystack: Column, sizes: Sequence[int], heads: Sequence[int]) -> Colu
     return F.array_compact(F.array_distinct(F.concat(*parts)))
 
 
-def find_substrings(texts: DataFrame, keys: Sequence[str], haystack: str, needles: DataFrame, needle: str) -> DataFrame:
+def find_substrings(
+    texts: DataFrame, keys: Sequence[str], haystack: str, needles: DataFrame, needle: str,
+    fold: Callable[[Column | str], Column] | None = None,
+) -> DataFrame:
     """Distinct (key, needle) pairs where the needle occurs anywhere inside the haystack.
 
+    With ``fold`` the haystack column is raw text and is folded here; verification then folds
+    only the texts that have a candidate.
+
     Every needle has one short gram around one of its word gaps; texts are exploded to their
     grams of the same sizes and met by an equi-join, then verified. No text x needle product
     arises, and Spark may broadcast the needle side or not as its size allows.
@@ -76,18 +82,24 @@ def find_substrings(texts: DataFrame, keys: Sequence[str], haystack: str, needle
     sizes, heads = sorted(n for n, _ in found if n), sorted(h for n, h in found if not n)
     if not found:
         heads = [1]
-    grams = _grams(F.col(haystack), sizes, heads)
-    candidates = (
-        texts.select(*keys, F.explode(grams).alias("_gram"))
+    prepared = texts.select(*keys, (fold(haystack) if fold else F.col(haystack)).alias("_text"))
+    grams = _grams(F.col("_text"), sizes, heads)
+    # candidate pairs are few; storing them avoids a second gram pass and gives Spark their size
+    candidates = durable(
+        prepared.select(*keys, F.explode(grams).alias("_gram"))
         .join(shaped.select("_needle", "_gram"), "_gram")
         .select(*keys, "_needle")
         .distinct()
     )
-    return (
-        texts.select(*keys, haystack)
-        .join(candidates, keys)
-        .filter(F.contains(F.col(haystack), F.col("_needle")))
-        .select(*keys, F.col("_needle").alias(needle))
+    hits = texts.select(*keys, haystack)
+    if fold:
+        # stored between, or Spark would move the folding below the join and fold every text
+        hits = durable(hits.join(candidates.select(*keys).distinct(), keys, "left_semi"))
+        hits = hits.withColumn(haystack, fold(haystack))
+    hits = hits.join(candidates, keys)
+    # coalesce keeps Spark from deriving a separate not-null filter that would fold once more
+    return hits.filter(F.coalesce(F.contains(F.col(haystack), F.col("_needle")), F.lit(False))).select(
+        *keys, F.col("_needle").alias(needle)
     )
 
 
@@ -106,10 +118,10 @@ def exact_owner(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("alias_norm").agg(F.max("canonical_name").alias("fund"))
 
 
-def mentions(texts: DataFrame, keys: Sequence[str], folded: str, registry: DataFrame) -> DataFrame:
+def mentions(texts: DataFrame, keys: Sequence[str], text: str, registry: DataFrame, fold=None) -> DataFrame:
     """Distinct (key, canonical_name) for entities with any spelling inside the text."""
-    aliases = alias_table(registry)
-    pairs = find_substrings(texts, keys, folded, aliases, "alias_norm")
+    aliases = durable(alias_table(registry))
+    pairs = find_substrings(texts, keys, text, aliases, "alias_norm", fold)
     return (
         pairs.join(aliases.select("alias_norm", "canonical_name").distinct(), "alias_norm")
         .select(*keys, "canonical_name")
