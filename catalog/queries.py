@@ -660,7 +660,6 @@ def anchor_recall(spark, sf):
     pages = stored_pages(spark, sf)
     reg = durable(D.title_registry(pages))
     gold = segmentation.list_references(pages, reg).select("fund", "page", F.lit("fund_section").alias("segment_type"))
-    listed = pages.select("document", "page").filter("page >= 2")
     got = evaluation.anchor_recall(segmentation.find_anchors(pages, reg), gold)
     return got.groupBy("page", "fund").agg(F.count("*").alias("gold"), F.count_if("found").alias("found"))
 

@@ -3,7 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from folioscope import schemas
-from folioscope.functions.text import fold_plain
 from folioscope.operators import classification, dense, names
 
 REG = "canonical_name STRING, aliases ARRAY<STRING>, evidence_count BIGINT"
