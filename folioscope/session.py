@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
-    spark = (
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own. ``shared`` becomes the checkpoint folder."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("folioscope")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,38 +20,40 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-SPREAD_BELOW = 512 * 1024 * 1024
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small table at least as many partitions as there are cores.
-
-    A small Parquet file is often one row group, hence one task for everything computed from
-    it. Larger inputs already have enough splits and are returned untouched, without a shuffle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SPREAD_BELOW:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without one, an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors can read and write")
+    return root.rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage: write once to the folder the cluster names and read the table back.
+    """Cut lineage: write once to the shared folder and read the table back.
 
-    Survives lost executors, computes its input once and gives later joins real sizes. Only
-    when no folder is set at all (unit tests) is a scratch one created for the session.
+    Survives lost executors, computes its input once and gives later joins real sizes. The table
+    stays until ``discard`` is called on the frame returned here.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stage = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``durable`` returned, once everything read from them is written."""
+    for frame in frames:
+        path = getattr(frame, "_stage", None)
+        if path:
+            target = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from folioscope.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cores=4, shuffle_partitions=4, memory="4g")
+    return local_session(cores=4, shuffle_partitions=4, memory="4g", shared=tempfile.mkdtemp(prefix="run-"))
 
 
 def block(text, y, size=10.0, bold=False):
