@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
+
+
+def smallest_reached(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n rows reaches by the links u - v."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        label = label[label]
+        if (label == before).all():
+            return label

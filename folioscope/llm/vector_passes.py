@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.components import components
+from folioscope.llm.components import components, smallest_reached
 from folioscope.session import discard, durable
 
 BITS = 48
@@ -87,19 +87,6 @@ def _keyed(distinct: DataFrame, passes: int, seed: int) -> DataFrame:
     return distinct.select("node", "v", "size").mapInArrow(run, f"node long, v {kind}, size int, keys array<long>")
 
 
-def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest index that each of n rows reaches by the links u - v."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[u], label[v])
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _window_links(ordered: DataFrame, cosine: float, window: int) -> DataFrame:
     """Links (a, b) that join what the verified pairs of each stretch of the sorted rows join."""
 
@@ -124,7 +111,7 @@ def _window_links(ordered: DataFrame, cosine: float, window: int) -> DataFrame:
                     u.append(hit)
                     v.append(hit + k)
                 if u:
-                    root = _roots(len(x), np.concatenate(u), np.concatenate(v))
+                    root = smallest_reached(len(x), np.concatenate(u), np.concatenate(v))
                     moved = np.flatnonzero(root != np.arange(len(x)))
                     left.append(nodes[moved])
                     right.append(nodes[root[moved]])
