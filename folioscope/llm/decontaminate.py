@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.wordbytes import NON_ALPHANUMERIC, Words, byte_view, rolled
+from folioscope.llm.wordbytes import NON_ALPHANUMERIC, Words, byte_view, portions, rolled
 from folioscope.session import discard, durable
 
 #: Windows told to all tasks at a time (about 100 bytes each). More windows make more passes over the documents.
@@ -84,7 +84,7 @@ def _scan(docs: DataFrame, text_column: str, block: _Block) -> DataFrame:
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, place):
             data, offsets = byte_view(batch.column(place))
             words = Words(data, offsets, NON_ALPHANUMERIC)
             items, spans = {}, {}

@@ -7,8 +7,11 @@ every process and run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,11 +55,40 @@ NON_ALPHANUMERIC = byte_table(bytes(b for b in range(128) if not (chr(b).isdigit
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(inverse), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+class _Powers:
+    """Powers of the base and of its inverse, computed once in a process and never sent with a task's code."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __getstate__(self) -> dict:
+        return {}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            both = np.full((2, max(n, CHUNK)), _BASE, np.uint64)
+            both[1] = pow(int(_BASE), -1, 1 << 64)
+            both[:, 0] = 1
+            self.up, self.down = np.cumprod(both, axis=1, dtype=np.uint64)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about CHUNK bytes of the text column, whole rows each, so that a task's memory doesn't follow the batch's size."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        row = 0
+        while row < batch.num_rows:
+            begin = ends[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
+            yield batch.slice(row, stop - row)
+            row = stop
 
 
 class Words:
@@ -78,7 +110,7 @@ class Words:
                 finish = inside.copy()
                 finish[:-1] &= ~inside[1:] | cut[1:-1]
                 s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-                up, down = _power_tables(hi - lo)
+                up, down = _POWERS.upto(hi - lo)
                 total = np.zeros(hi - lo + 1, np.uint64)
                 np.cumsum(values * up[: hi - lo], out=total[1:])
                 starts.append(s + lo)
@@ -93,15 +125,6 @@ class Words:
         return np.diff(self.first)
 
 
-_cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "powers" not in _cache or len(_cache["powers"][0]) < n:
-        _cache["powers"] = _powers(max(n, CHUNK))
-    return _cache["powers"]
-
-
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive words, by its first word; the runs may cross texts."""
     n = len(hashes) - width + 1
