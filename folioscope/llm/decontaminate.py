@@ -136,7 +136,7 @@ def find_windows(
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k) if blocks > 1 else grams
         after = _scan(state, text_column, _block(own.withColumn("item_id", F.coalesce("item_id", F.lit("\0"))).toArrow()))
         before, state = state, durable(after) if k < blocks - 1 else after
-        if k > 1:
+        if k < blocks - 1:
             discard(before)
     discard(grams)
     return state.withColumn(_FOUND, F.array_remove(_FOUND, "\0"))

@@ -38,7 +38,7 @@ def passes_for(vectors: int, cosine: float, window: int, recall: float) -> int:
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, size)
+    return np.array(column.flatten(), dtype=np.float64).reshape(-1, size)
 
 
 def checked(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
