@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 21
+#: Bytes of text whose words are found at once; the working arrays take some 40 bytes for each.
+PORTION = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +71,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            both = np.full((2, max(n, CHUNK)), _BASE, np.uint64)
+            both = np.full((2, max(n, PORTION)), _BASE, np.uint64)
             both[1] = pow(int(_BASE), -1, 1 << 64)
             both[:, 0] = 1
             self.up, self.down = np.cumprod(both, axis=1, dtype=np.uint64)
@@ -80,15 +82,16 @@ _POWERS = _Powers()
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about CHUNK bytes of the text column, whole rows each, so that a task's memory doesn't follow the batch's size."""
+    """The batches cut to about PORTION bytes of the text column, whole rows each, so that a task's memory doesn't follow the batch's size."""
     for batch in batches:
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
         row = 0
         while row < batch.num_rows:
             begin = ends[row - 1] if row else 0
-            stop = max(row + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
+            stop = max(row + 1, int(np.searchsorted(ends, begin + PORTION, "right")))
             yield batch.slice(row, stop - row)
             row = stop
+    pa.default_memory_pool().release_unused()  # the process is kept for other tasks
 
 
 class Words:
@@ -97,8 +100,8 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         starts, ends, hashes = [], [], []
         text = 0
-        while text < len(offsets) - 1:  # whole texts, about CHUNK bytes at a time
-            stop = max(text + 1, int(np.searchsorted(offsets, offsets[text] + CHUNK, "right")) - 1)
+        while text < len(offsets) - 1:  # whole texts, about PORTION bytes at a time
+            stop = max(text + 1, int(np.searchsorted(offsets, offsets[text] + PORTION, "right")) - 1)
             lo, hi = int(offsets[text]), int(offsets[stop])
             if hi > lo:
                 values = table[data[lo:hi]]
