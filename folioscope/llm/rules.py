@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.wordbytes import BLANKS, CHUNK, Words, byte_table, byte_view
+from folioscope.llm.wordbytes import BLANKS, PORTION, Words, byte_table, byte_view, portions
 from folioscope.session import durable
 
 #: Labelled rows that the forest and the regression see at most, chosen by a hash of the id.
@@ -67,8 +67,10 @@ def _runs_of(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     size = np.diff(offsets)
     n, kinds = len(size), len(_CLASSES) + 2
-    text = np.repeat(np.arange(n), size)
-    counts = np.bincount(text * kinds + _CLASS_OF[data[offsets[0] : offsets[-1]]], minlength=n * kinds).reshape(n, kinds)
+    counts = np.zeros((n, kinds), np.int64)
+    for lo in range(0, len(data), PORTION):
+        text = np.repeat(np.arange(n), np.diff(np.clip(offsets, lo, lo + PORTION)))
+        counts += np.bincount(text * kinds + _CLASS_OF[data[lo : lo + PORTION]], minlength=n * kinds).reshape(n, kinds)
     words, lines = Words(data, offsets, BLANKS), Words(data, offsets, _LINES)
     n_words, n_lines = words.counts(), lines.counts()
     distinct, most = _runs_of(words.hash, words.first)
@@ -99,14 +101,9 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     place = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = byte_view(batch.column(place))
-            parts, text = [], 0
-            while text < batch.num_rows:
-                stop = max(text + 1, int(np.searchsorted(offsets, offsets[text] + CHUNK, "right")) - 1)
-                parts.append(_statistics(data, offsets[text : stop + 1]))
-                text = stop
-            columns = [pa.array(np.concatenate([p[s] for p in parts]) if parts else np.zeros(0), pa.float64()) for s in STATISTICS]
+        for batch in portions(batches, place):
+            found = _statistics(*byte_view(batch.column(place)))
+            columns = [pa.array(found[s], pa.float64()) for s in STATISTICS]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, list(STATISTICS))], [*names, "_statistics"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 21
-#: Bytes of text whose words are found at once; the working arrays take some 40 bytes for each.
+#: Bytes whose words are found at once, also inside a long text; the working arrays take some 40 bytes for each.
 PORTION = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,32 +94,44 @@ def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Reco
     pa.default_memory_pool().release_unused()  # the process is kept for other tasks
 
 
+def _gap(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, place: int) -> int:
+    """The first place from ``place`` on where a text begins, a separator stands or the bytes end."""
+    if place >= len(data):
+        return len(data)
+    stop = int(offsets[np.searchsorted(offsets, place)])
+    while place < stop:
+        found = np.flatnonzero(table[data[place : min(stop, place + 4096)]] == 0)
+        if len(found):
+            return place + int(found[0])
+        place = min(stop, place + 4096)
+    return stop
+
+
 class Words:
     """``start``, ``end`` (byte places), ``hash`` of every word and ``first``: per text, the index of its first word (plus an end)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         starts, ends, hashes = [], [], []
-        text = 0
-        while text < len(offsets) - 1:  # whole texts, about PORTION bytes at a time
-            stop = max(text + 1, int(np.searchsorted(offsets, offsets[text] + PORTION, "right")) - 1)
-            lo, hi = int(offsets[text]), int(offsets[stop])
-            if hi > lo:
-                values = table[data[lo:hi]]
-                inside = values != 0
-                cut = np.zeros(hi - lo + 1, bool)
-                cut[offsets[text : stop + 1] - lo] = True
-                begin = inside.copy()
-                begin[1:] &= ~inside[:-1] | cut[1:-1]
-                finish = inside.copy()
-                finish[:-1] &= ~inside[1:] | cut[1:-1]
-                s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-                up, down = _POWERS.upto(hi - lo)
-                total = np.zeros(hi - lo + 1, np.uint64)
-                np.cumsum(values * up[: hi - lo], out=total[1:])
-                starts.append(s + lo)
-                ends.append(e + lo)
-                hashes.append(mixed((total[e] - total[s]) * down[s]))
-            text = stop
+        lo, size = 0, len(data)
+        while lo < size:  # about PORTION bytes at a time, cut where no word runs across
+            hi = _gap(data, offsets, table, lo + PORTION)
+            values = table[data[lo:hi]]
+            inside = values != 0
+            cut = np.zeros(hi - lo + 1, bool)
+            a, b = np.searchsorted(offsets, (lo, hi + 1))
+            cut[offsets[a:b] - lo] = True
+            begin = inside.copy()
+            begin[1:] &= ~inside[:-1] | cut[1:-1]
+            finish = inside.copy()
+            finish[:-1] &= ~inside[1:] | cut[1:-1]
+            s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+            up, down = _POWERS.upto(hi - lo)
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(values * up[: hi - lo], out=total[1:])
+            starts.append(s + lo)
+            ends.append(e + lo)
+            hashes.append(mixed((total[e] - total[s]) * down[s]))
+            lo = hi
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.start, self.end, self.hash = join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64)
         self.first = np.searchsorted(self.start, offsets)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, html_paths, incidence, ppm, raking, ring, rules, transcripts, vector_passes
+from folioscope.llm import decontaminate, html_paths, incidence, ppm, raking, ring, rules, transcripts, vector_passes, wordbytes
 from folioscope.llm.components import components
 from folioscope.llm.wordbytes import BLANKS, NON_ALPHANUMERIC, Words, byte_view
 
@@ -67,6 +67,19 @@ def test_words(table, pattern):
     assert len(set(words.hash.tolist())) == len(set(found))
 
 
+def test_words_inside_long_texts(monkeypatch):
+    """Words and statistics are the same however the bytes are cut into portions."""
+    texts = ["", "one two  one\nÉ!x", "y" * 50, None, " ", "a|b 12 " * 9, ""]
+    data, offsets = wordbytes.byte_view(pa.array(texts))
+    whole, stats = wordbytes.Words(data, offsets, wordbytes.BLANKS), rules._statistics(data, offsets)
+    for size in (1, 3, 16):
+        monkeypatch.setattr(wordbytes, "PORTION", size)
+        monkeypatch.setattr(rules, "PORTION", size)
+        cut, again = wordbytes.Words(data, offsets, wordbytes.BLANKS), rules._statistics(data, offsets)
+        assert all((getattr(whole, k) == getattr(cut, k)).all() for k in ("start", "end", "hash", "first"))
+        assert all((stats[k] == again[k]).all() for k in stats)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
