@@ -511,9 +511,10 @@ def discovery_scores(spark, sf):
 
 @query(
     "discovery_differences",
-    f"""WITH p AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM documents), g AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM benchmark)
-    SELECT DISTINCT 'missing' AS side, name FROM g WHERE {D.sql_fold_label('name')} NOT IN (SELECT {D.sql_fold_label('name')} FROM p)
-    UNION ALL SELECT DISTINCT 'extra', name FROM p WHERE {D.sql_fold_label('name')} NOT IN (SELECT {D.sql_fold_label('name')} FROM g)""",
+    f"""WITH pn AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM documents), gn AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM benchmark),
+    p AS (SELECT {D.sql_fold_label('name')} AS k, min(name) AS name FROM pn GROUP BY 1), g AS (SELECT {D.sql_fold_label('name')} AS k, min(name) AS name FROM gn GROUP BY 1)
+    SELECT 'missing' AS side, name FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = g.k)
+    UNION ALL SELECT 'extra', name FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = p.k)""",
 )
 def discovery_differences(spark, sf):
     head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name")

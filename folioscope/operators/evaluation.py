@@ -38,11 +38,14 @@ def set_scores(predicted: DataFrame, gold: DataFrame, name: str = "name") -> Dat
 
 
 def set_differences(predicted: DataFrame, gold: DataFrame, name: str = "name") -> DataFrame:
-    """``side, name`` of missing and extra names."""
-    p = predicted.select(fold_label(name).alias("k"), F.col(name))
-    g = gold.select(fold_label(name).alias("k"), F.col(name))
+    """``side, name`` of missing and extra names, one (the least) spelling for each folded name."""
+
+    def spellings(names: DataFrame) -> DataFrame:
+        return names.groupBy(fold_label(name).alias("k")).agg(F.min(name).alias(name))
+
+    p, g = spellings(predicted), spellings(gold)
     missing = g.join(p, "k", "left_anti").select(F.lit("missing").alias("side"), name)
-    return missing.unionByName(p.join(g, "k", "left_anti").select(F.lit("extra").alias("side"), name)).distinct()
+    return missing.unionByName(p.join(g, "k", "left_anti").select(F.lit("extra").alias("side"), name))
 
 
 def registry_summary(registry: DataFrame) -> DataFrame:

@@ -22,7 +22,6 @@ PRIORITY = {"fund_list_table": 0, "relation": 1, "quoted_title": 2, "label": 3,
 UNKNOWN_PRIORITY = 9
 UMBRELLA_WORD = r"(?iU)\b(?:fund|фонд)\b"
 UMBRELLA_WORDS = 4
-MAX_ROUNDS = 50
 
 POSITION = "STRUCT<priority: INT, document: STRING, page: INT, norm: STRING, seq: BIGINT>"
 _PARTS = ("priority", "document", "page", "norm", "seq")
@@ -66,7 +65,7 @@ def components(links: DataFrame) -> DataFrame:
             F.col("a").alias("norm"), F.least("a", "m").alias("component")
         )
     )
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last lowers a label
         reached = (
             edges.join(labels, edges.b == labels.norm).groupBy("a").agg(F.min("component").alias("m"))
         )
@@ -81,7 +80,6 @@ def components(links: DataFrame) -> DataFrame:
         if updated.join(before, "norm").filter(F.col("component") != F.col("old")).isEmpty():
             return updated
         labels = updated
-    raise RuntimeError("alias components did not settle")
 
 
 def same_entity(a: str, b: str) -> bool:
@@ -147,7 +145,7 @@ def group_steps(rows: DataFrame) -> DataFrame:
     member = durable(components(links))
     arrivals = firsts.join(member, "norm").select("component", "pos.*")
     asked: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last adds one of finitely many arrivals
         folded = durable(arrivals.groupBy("component").applyInPandas(_fold_component, _FOLDED))
         wanted = folded.filter("wants_after").select("component", "norm", "start").distinct()
         if asked is not None:
@@ -161,8 +159,6 @@ def group_steps(rows: DataFrame) -> DataFrame:
         )
         asked = wanted if asked is None else asked.unionByName(wanted)
         arrivals = durable(arrivals.unionByName(upcoming.select("component", "pos.*")).distinct())
-    else:
-        raise RuntimeError("alias groups did not settle")
     linked = folded.filter(~F.col("wants_after")).groupBy("norm").agg(
         F.array_sort(F.collect_list(F.struct("start", "group"))).alias("steps")
     )

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from folioscope.operators import chunking, evaluation, segmentation
 from folioscope.operators import registry as R
 from folioscope.functions.text import _fold, LABEL_EDGES
 
@@ -65,3 +66,21 @@ def test_matches_sequential_clustering(spark, seed):
         for i in range(60)
     ]
     assert built(spark, c) == brute(c)
+
+
+def test_set_differences_count_folded_names_once(spark):
+    predicted = spark.createDataFrame([("Alpha One",), ("ALPHA ONE",), ("Beta",)], "name string")
+    gold = spark.createDataFrame([("beta",), ("Gamma",), ("GAMMA",)], "name string")
+    got = sorted(tuple(r) for r in evaluation.set_differences(predicted, gold).collect())
+    assert got == [("extra", "ALPHA ONE"), ("missing", "GAMMA")]
+
+
+def test_missing_class_or_pages_are_errors(spark):
+    pages = spark.createDataFrame([("a", 1), ("b", 1)], "document string, page int")
+    classes = spark.createDataFrame([("a", "general", None)], "document string, document_type string, primary_fund string")
+    anchors = spark.createDataFrame([], "document string")
+    with pytest.raises(ValueError, match="'b'"):
+        segmentation.segment_documents(pages, anchors, classes, anchors=anchors)
+    segments = spark.createDataFrame([("c", 1, 2)], "document string, start_page int, end_page int")
+    with pytest.raises(ValueError, match="'c'"):
+        chunking.segment_spans(segments, pages)
