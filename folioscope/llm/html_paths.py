@@ -2,8 +2,10 @@
 
 A page becomes a sequence of blocks, each with the path of block elements above it. Per path the
 text outside links, the punctuation and the blocks are added up; the ratios are smoothed over the
-sequence of blocks, fused to one weight per path, and paths under a threshold are left out. Paths
-through elements that are never main text (menus, footers, adverts, forms, comments) weigh nothing.
+sequence of blocks and fused to one weight per path. The weights choose the content, ``article`` and
+``main`` or else the container with the mass of the weight, of which every block stays, however short; outside
+it paths under a threshold are left out. Elements that are never main text (menus, footers, adverts,
+forms, comments) weigh nothing.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A path is kept if its weight is at least this part of the mean weight, by text length, of all paths.
+#: A path outside the content is kept if its weight is at least this part of the mean weight, by text length, of all paths.
 THRESHOLD = 0.35
+#: The content is in the innermost container with more than this part of the weight.
+MASS = 0.6
 _SMOOTH = (0.25, 0.5, 0.25)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
@@ -41,6 +45,7 @@ _SIBLINGS = {
 }
 _ASIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
 _MAIN = frozenset("article main".split())
+_CONTAINER = frozenset("html body div section article main center td figure blockquote".split())
 _ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar sidenav rail footer masthead topbar comment comments reply replies respond disqus cookie cookies consent gdpr notice "
@@ -71,15 +76,31 @@ def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
 class _Open:
     """An open block element (or an element whose text isn't shown)."""
 
-    __slots__ = ("tag", "path", "aside", "main")
+    __slots__ = ("tag", "path", "aside", "main", "above")
 
-    def __init__(self, tag: str, path: str, aside: bool, main: bool):
-        self.tag, self.path, self.aside, self.main = tag, path, aside, main
+    def __init__(self, tag: str, path: str, aside: bool, main: bool, above: _Open | None = None):
+        self.tag, self.path, self.aside, self.main, self.above = tag, path, aside, main, above
 
 
-def blocks(page: str) -> list[tuple[str, bool, str, int]]:
-    """(path, under article or main, text, characters inside links) of every block that can be main text, in page order."""
-    out: list[tuple[str, bool, str, int]] = []
+def _sums(parts: list[tuple[_Open, float]]) -> dict[_Open, float]:
+    """Per element the sum of the parts at or under it."""
+    out: dict[_Open, float] = {}
+    for element, part in parts:
+        while element is not None:
+            out[element] = out.get(element, 0.0) + part
+            element = element.above
+    return out
+
+
+def _container(element: _Open) -> _Open:
+    while element.above is not None and element.tag not in _CONTAINER:
+        element = element.above
+    return element
+
+
+def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
+    """(element, under article or main, text, characters inside links) of every block that can be main text, in page order."""
+    out: list[tuple[_Open, bool, str, int]] = []
     stack = [_Open("", "", False, False)]
     parts: list[str] = []
     links = link_size = place = 0
@@ -89,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and not stack[-1].aside:
-                out.append((stack[-1].path, stack[-1].main, text, min(link_size, len(text))))
+                out.append((stack[-1], stack[-1].main, text, min(link_size, len(text))))
             parts.clear()
         link_size = 0
 
@@ -119,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
         elif tag not in _BLOCK and tag not in _UNSEEN:
             if not ending and _is_aside(tag, found[3], stack[-1].main) and not found[3].endswith("/"):
                 flush()
-                stack.append(_Open(tag, f"{stack[-1].path} {tag}", True, stack[-1].main))
+                stack.append(_Open(tag, f"{stack[-1].path} {tag}", True, stack[-1].main, stack[-1]))
             elif ending and stack[-1].tag == tag:
                 close(len(stack) - 1)
         elif ending:
@@ -152,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
                 continue
             top = stack[-1]
             aside = top.aside or _is_aside(tag, found[3], top.main)
-            stack.append(_Open(tag, f"{top.path} {tag}", aside, top.main or (tag in _MAIN and not aside)))
+            stack.append(_Open(tag, f"{top.path} {tag}", aside, top.main or (tag in _MAIN and not aside), top))
             if tag in _RAW:
                 end = re.compile(f"</{tag}", re.I).search(page, place)
                 place = end.start() if end else size
@@ -162,14 +183,8 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
     return out
 
 
-def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
-    """The blocks of the kept paths, joined by blank lines; null and empty pages give an empty text."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    if any(main for _, main, _, _ in found):
-        found = [b for b in found if b[1]]
-    # Ratios of each block: text outside links, and punctuation; smoothed over the neighbours.
+def _weights(found: list[tuple[_Open, bool, str, int]]) -> list[float]:
+    """Fused ratios of each block: text outside links, and punctuation, both also smoothed over the neighbours."""
     plain = [math.log1p(len(text) - linked) for _, _, text, linked in found]
     marks = [math.log1p(len(_MARKS.findall(text))) for _, _, text, _ in found]
 
@@ -178,15 +193,42 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
         return [sum(w * v for w, v in zip(_SMOOTH, padded[k : k + 3], strict=True)) for k in range(len(values))]
 
     fused = [p + s + m + 0.5 * t for p, s, m, t in zip(plain, smooth(plain), marks, smooth(marks), strict=True)]
+    return [weight if linked < 0.6 * len(text) else 0.0 for weight, (_, _, text, linked) in zip(fused, found, strict=True)]
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
+    """The blocks of the content and of other kept paths, joined by blank lines; null and empty pages give an empty text."""
+    found = blocks(page or "")
+    if not found:
+        return ""
+    if any(main for _, main, _, _ in found):
+        return "\n\n".join(text for _, main, text, _ in found if main)
+    fused = _weights(found)
     by_path: dict[str, list[float]] = {}
-    for (path, _, text, linked), weight in zip(found, fused, strict=True):
-        total = by_path.setdefault(path, [0.0, 0, 0])
-        total[0] += weight if linked < 0.6 * len(text) else 0.0
+    for (element, _, text, _), weight in zip(found, fused, strict=True):
+        total = by_path.setdefault(element.path, [0.0, 0, 0])
+        total[0] += weight
         total[1] += 1
         total[2] += len(text)
     weights = {path: total / n for path, (total, n, _) in by_path.items()}
     mean = sum(weights[path] * size for path, (_, _, size) in by_path.items()) / sum(size for _, _, size in by_path.values())
-    return "\n\n".join(text for path, _, text, _ in found if weights[path] >= threshold * mean and weights[path] > 0)
+    under = _sums([(element, weight) for (element, *_), weight in zip(found, fused, strict=True)])
+    # Elements on one line down from the root hold more than half, so the innermost is the one with the longest path.
+    heavy = [e for e, weight in under.items() if weight > MASS * sum(fused) and (e.tag in _CONTAINER or e.above is None)]
+    root = max(heavy, key=lambda e: len(e.path)) if heavy else None
+
+    def in_root(element: _Open | None) -> bool:
+        while element is not None and element is not root:
+            element = element.above
+        return root is not None and element is root
+
+    def kept(element: _Open, text: str, linked: int) -> bool:
+        # Links alone in a container are a menu; with other text beside them they belong to it.
+        if in_root(element) and (linked < 0.6 * len(text) or under[_container(element)] > 0):
+            return True
+        return weights[element.path] >= threshold * mean and weights[element.path] > 0
+
+    return "\n\n".join(text for element, _, text, linked in found if kept(element, text, linked))
 
 
 def extract(pages: DataFrame, html_column: str = "html", threshold: float = THRESHOLD) -> DataFrame:

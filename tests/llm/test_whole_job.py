@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from folioscope.llm import vector_passes
+from folioscope.llm import html_paths, vector_passes
 
 
 @pytest.mark.parametrize("n,share,tile", [(20_000, 0.85, vector_passes.REST_TILE), (4000, 0.5, 40)])
@@ -36,3 +36,14 @@ def test_signs_needed():
     assert vector_passes.signs_needed(keys, 5, True, True).tolist() == [0] * 6
     assert vector_passes.signs_needed(keys, 2, False, True).tolist() == [49, 49, 49, 1, 1, 1]
     assert vector_passes.signs_needed(keys, 2, True, False).tolist() == [1, 1, 1, 2, 2, 49]
+
+
+LONG = "A long sentence, with its marks, goes on. " * 250
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_short_blocks_between_long_paragraphs(tag):
+    """Title, list, table and linked text of an article stay however long its paragraphs are."""
+    body = f"<h1>Ox</h1><p>{LONG}</p><ul><li>Twelve chars<li>Other twelve</ul><p>{LONG}</p><table><tr><td>abc<td>12</table><p>{LONG}</p><h2><a href=1>Linked</a></h2><ul><li><a href=2>Source</a></ul>"
+    expected = ["Ox", LONG.strip(), "Twelve chars", "Other twelve", LONG.strip(), "abc", "12", LONG.strip(), "Linked", "Source"]
+    assert html_paths.main_text(f"<body><{tag}>{body}</{tag}><div><a href=3>Elsewhere</a></div></body>").split("\n\n") == expected
