@@ -4,8 +4,9 @@ A page becomes a sequence of blocks, each with the path of block elements above
 text outside links, the punctuation and the blocks are added up; the ratios are smoothed over the
 sequence of blocks and fused to one weight per path. The weights choose the content, ``article`` and
 ``main`` or else the container with the mass of the weight, of which every block stays, however short; outside
-it paths under a threshold are left out. Elements that are never main text (menus, footers, adverts,
-forms, comments) weigh nothing.
+it paths under a threshold are left out. Elements that are never main text (menus, footers, forms, hidden
+ones) weigh nothing. Nor do those whose class, id or role names an advert, a sidebar, comments and the
+like, unless they hold the only ``article`` or ``main`` or most of the page's weight.
 """
 
 from __future__ import annotations
@@ -54,6 +55,13 @@ _ASIDE_NAMES = frozenset(
 )
 
 
+_TALK = frozenset("comment comments reply replies respond disqus".split())
+#: A class with one of these parts tells a state of the page, as no-sidebar or menu-open.
+_STATE = frozenset("no not non has have with without is free open opened close closed collapsed expanded enabled disabled fixed sticky on off ready".split())
+#: Names that mean what they say only as a whole class or before a dash, not as in overflow-hidden.
+_NOT_LAST = frozenset("hidden widget overlay skip tags legal header copyright alert modal rail".split())
+
+
 def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     """Whether an element and all in it is never main text."""
     if tag in _ASIDE or tag in _UNSEEN or (tag == "header" and not in_main):
@@ -64,22 +72,34 @@ def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if name in ("class", "id", "role") and tag not in _MAIN:
-            names = set(_NAME.findall(value))
-            if names & (_ASIDE_NAMES if not in_main else _ASIDE_NAMES - {"header", "tags"}):
-                return True
-        elif name in ("class", "id") and {"comment", "comments", "reply", "ad", "advert"} & set(_NAME.findall(value)):
-            return True
     return False
 
 
+def _aside_names(tag: str, attributes: str, in_main: bool) -> frozenset[str]:
+    """The names of an element's class, id and role by which it isn't main text, if nothing else tells that it is."""
+    if not attributes or tag in ("html", "body"):
+        return frozenset()
+    names = set()
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in "".join(values).lower().split():
+                parts = _NAME.findall(token)
+                if parts and not _STATE & set(parts):
+                    names.add(parts[0])
+                    if not in_main and parts[-1] not in _NOT_LAST:
+                        names.add(parts[-1])
+    if tag in _MAIN:
+        return frozenset(names & {"comment", "comments", "reply", "ad", "advert"})
+    return frozenset(names & (_ASIDE_NAMES - {"header", "tags"} if in_main else _ASIDE_NAMES))
+
+
 class _Open:
     """An open block element (or an element whose text isn't shown)."""
 
-    __slots__ = ("tag", "path", "aside", "main", "above")
+    __slots__ = ("tag", "path", "aside", "main", "above", "names")
 
-    def __init__(self, tag: str, path: str, aside: bool, main: bool, above: _Open | None = None):
-        self.tag, self.path, self.aside, self.main, self.above = tag, path, aside, main, above
+    def __init__(self, tag: str, path: str, aside: bool, main: bool, above: _Open | None = None, names: frozenset[str] = frozenset()):
+        self.tag, self.path, self.aside, self.main, self.above, self.names = tag, path, aside, main, above, names
 
 
 def _sums(parts: list[tuple[_Open, float]]) -> dict[_Open, float]:
@@ -138,9 +158,11 @@ def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
         elif tag in _VOID and tag != "hr":
             continue
         elif tag not in _BLOCK and tag not in _UNSEEN:
-            if not ending and _is_aside(tag, found[3], stack[-1].main) and not found[3].endswith("/"):
+            aside = not ending and not found[3].endswith("/") and _is_aside(tag, found[3], stack[-1].main)
+            names = frozenset() if ending or aside or found[3].endswith("/") else _aside_names(tag, found[3], stack[-1].main)
+            if aside or names:
                 flush()
-                stack.append(_Open(tag, f"{stack[-1].path} {tag}", True, stack[-1].main, stack[-1]))
+                stack.append(_Open(tag, f"{stack[-1].path} {tag}", aside or stack[-1].aside, stack[-1].main, stack[-1], names))
             elif ending and stack[-1].tag == tag:
                 close(len(stack) - 1)
         elif ending:
@@ -173,7 +195,8 @@ def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
                 continue
             top = stack[-1]
             aside = top.aside or _is_aside(tag, found[3], top.main)
-            stack.append(_Open(tag, f"{top.path} {tag}", aside, top.main or (tag in _MAIN and not aside), top))
+            names = frozenset() if aside else _aside_names(tag, found[3], top.main)
+            stack.append(_Open(tag, f"{top.path} {tag}", aside, top.main or (tag in _MAIN and not aside), top, names))
             if tag in _RAW:
                 end = re.compile(f"</{tag}", re.I).search(page, place)
                 place = end.start() if end else size
@@ -196,14 +219,51 @@ def _weights(found: list[tuple[_Open, bool, str, int]]) -> list[float]:
     return [weight if linked < 0.6 * len(text) else 0.0 for weight, (_, _, text, linked) in zip(fused, found, strict=True)]
 
 
+def _without_named(found: list[tuple[_Open, bool, str, int]]) -> list[tuple[_Open, bool, str, int]]:
+    """The blocks not under an element that its names make no main text.
+
+    Names don't count if the page's only ``article`` or ``main`` with text is under the element or if most of the
+    weight is; comments need to be all there is. Elements under one whose names don't count are judged in turn.
+    """
+    fused, ignored = _weights(found), set()
+
+    def outermost(element: _Open | None) -> _Open | None:
+        top = None
+        while element is not None:
+            if element.names and element not in ignored:
+                top = element
+            element = element.above
+        return top
+
+    while True:
+        named = [outermost(element) for element, *_ in found]
+        clear = [block for block, top in zip(found, named, strict=True) if top is None]
+        main = any(block[1] for block in clear)
+        weight: dict[_Open, float] = {}
+        with_main = set()
+        for (_, in_main, _, _), top, w in zip(found, named, fused, strict=True):
+            if top is not None:
+                weight[top] = weight.get(top, 0.0) + w
+                if in_main:
+                    with_main.add(top)
+        content = {
+            top for top, w in weight.items() if (not clear or not top.names & _TALK) and ((top in with_main and not main) or w > 0.5 * sum(fused))
+        }
+        if not content:
+            return clear
+        ignored |= content
+
+
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The blocks of the content and of other kept paths, joined by blank lines; null and empty pages give an empty text."""
     found = blocks(page or "")
+    if found:
+        found = _without_named(found)
     if not found:
         return ""
-    if any(main for _, main, _, _ in found):
-        return "\n\n".join(text for _, main, text, _ in found if main)
     fused = _weights(found)
+    if sum(weight for (_, main, _, _), weight in zip(found, fused, strict=True) if main) > 0.5 * sum(fused):
+        return "\n\n".join(text for _, main, text, _ in found if main)
     by_path: dict[str, list[float]] = {}
     for (element, _, text, _), weight in zip(found, fused, strict=True):
         total = by_path.setdefault(element.path, [0.0, 0, 0])

@@ -47,3 +47,21 @@ def test_short_blocks_between_long_paragraphs(tag):
     body = f"<h1>Ox</h1><p>{LONG}</p><ul><li>Twelve chars<li>Other twelve</ul><p>{LONG}</p><table><tr><td>abc<td>12</table><p>{LONG}</p><h2><a href=1>Linked</a></h2><ul><li><a href=2>Source</a></ul>"
     expected = ["Ox", LONG.strip(), "Twelve chars", "Other twelve", LONG.strip(), "abc", "12", LONG.strip(), "Linked", "Source"]
     assert html_paths.main_text(f"<body><{tag}>{body}</{tag}><div><a href=3>Elsewhere</a></div></body>").split("\n\n") == expected
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "overflow-hidden", "elementor-widget", "ad-free", "search-open", "sidebar", "layout hidden"])
+def test_wrappers_with_telling_names(name):
+    """A page's text isn't lost by the class of an element around it."""
+    text = "<h1>Title</h1><p>Some words, and more.</p><p>Again, words.</p>"
+    expected = "Title\n\nSome words, and more.\n\nAgain, words."
+    for page in (f"<article>{text}</article>", f"<div>{text}</div>"):
+        assert html_paths.main_text(f"<body><div class='{name}'><div class=ad>Buy, now.</div>{page}<div class='site-footer'>Ours.</div></div>") == expected
+
+
+def test_teasers_beside_the_text():
+    """Teaser cards in ``article`` don't stand for the page; comments stay out, also longer ones."""
+    text = "".join(f"<p>Paragraph {k}, of the text, has words.</p>" for k in range(9))
+    got = html_paths.main_text(f"<body><article><p>Teaser, one.</p></article><div class='content'>{text}</div>")
+    assert all(f"Paragraph {k}, of the text, has words." in got for k in range(9))
+    talk = f"<section class='comments'><article>{text}</article></section>"
+    assert html_paths.main_text(f"<body><article><p>Short, whole.</p></article>{talk}") == "Short, whole."
