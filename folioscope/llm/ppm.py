@@ -34,12 +34,12 @@ SYMBOLS = 255  # all bytes but START
 _WORD, _GRAM, _TEXT = 0, 1, 2
 
 
-def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about CHUNK bytes."""
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of runs of whole texts of about CHUNK bytes; each run's offsets begin at 0."""
     text = 0
     while text < len(offsets) - 1:
         stop = max(text + 1, int(np.searchsorted(offsets, offsets[text] + CHUNK, "right")) - 1)
-        yield text, stop
+        yield data[offsets[text] : offsets[stop]], offsets[text : stop + 1] - offsets[text]
         text = stop
 
 
@@ -47,10 +47,10 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Every predicted symbol with its context as one number (context bytes, then the symbol), and where each text's begin."""
     size = np.diff(offsets)
     texts = len(size)
-    starts = offsets[:-1] - offsets[0] + np.arange(texts) * (ORDER + 1)
+    starts = offsets[:-1] + np.arange(texts) * (ORDER + 1)
     padded = np.full(int(size.sum()) + texts * (ORDER + 1), START, np.uint8)
     place = np.arange(int(size.sum())) + np.repeat((np.arange(texts) + 1) * (ORDER + 1) - 1, size)
-    padded[place] = data[offsets[0] : offsets[-1]]
+    padded[place] = data
     padded[starts + ORDER + size] = END
     keys = padded[: len(padded) - ORDER].astype(np.uint64)
     for k in range(1, ORDER + 1):
@@ -104,9 +104,9 @@ def gather(docs: DataFrame, text_column: str) -> DataFrame:
         for batch in batches:
             data, offsets = byte_view(batch.column(0))
             texts += batch.num_rows
-            for a, b in _pieces(offsets):
-                grams.add(_runs(data, offsets[a : b + 1])[0])
-                words.add(Words(data, offsets[a : b + 1], BLANKS).hash)
+            for piece, own in _pieces(data, offsets):
+                grams.add(_runs(piece, own)[0])
+                words.add(Words(piece, own, BLANKS).hash)
             for kind, tally in ((_WORD, words), (_GRAM, grams)):
                 if tally.held > 1 << 21:
                     yield flush(kind, tally)
@@ -233,8 +233,8 @@ def _scored(docs: DataFrame, text_column: str, trie: dict, words: tuple[np.ndarr
             data, offsets = byte_view(batch.column(texts))
             columns = list(batch.columns)
             sums, tokens, known, base, rare = [], [], [], [], []
-            for a, b in _pieces(offsets):
-                keys, first = _runs(data, offsets[a : b + 1])
+            for piece, begins in _pieces(data, offsets):
+                keys, first = _runs(piece, begins)
                 mine = last_bytes[(keys >> np.uint64(8)).astype(np.uint8)]
                 value = np.zeros(len(keys))
                 found, leaf = find(leaves, keys)
@@ -244,7 +244,7 @@ def _scored(docs: DataFrame, text_column: str, trie: dict, words: tuple[np.ndarr
                 value[~mine] = 0
                 sums.append(np.add.reduceat(value, first[:-1]))
                 if words is not None:
-                    own = Words(data, offsets[a : b + 1], BLANKS)
+                    own = Words(piece, begins, BLANKS)
                     hit, log = find(words, own.hash)
                     log[~hit] = 0
                     total, hits = np.concatenate([[0.0], np.cumsum(log)]), np.concatenate([[0], np.cumsum(hit)])

@@ -111,6 +111,8 @@ class Words:
     """``start``, ``end`` (byte places), ``hash`` of every word and ``first``: per text, the index of its first word (plus an end)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+        if offsets[0] != 0 or offsets[-1] != len(data):
+            raise ValueError(f"offsets run from {offsets[0]} to {offsets[-1]}, not over all {len(data)} bytes")
         starts, ends, hashes = [], [], []
         lo, size = 0, len(data)
         while lo < size:  # about PORTION bytes at a time, cut where no word runs across

@@ -1,9 +1,13 @@
 """Cases in which operators once did less than the whole job."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from folioscope.llm import html_paths, vector_passes
+from folioscope.llm import html_paths, ppm, vector_passes
+from folioscope.llm.wordbytes import BLANKS, Words
 
 
 @pytest.mark.parametrize("n,share,tile", [(20_000, 0.85, vector_passes.REST_TILE), (4000, 0.5, 40)])
@@ -65,3 +69,35 @@ def test_teasers_beside_the_text():
     assert all(f"Paragraph {k}, of the text, has words." in got for k in range(9))
     talk = f"<section class='comments'><article>{text}</article></section>"
     assert html_paths.main_text(f"<body><article><p>Short, whole.</p></article>{talk}") == "Short, whole."
+
+
+def test_context_model_over_batches_of_several_pieces(spark):
+    """Batches above CHUNK, one text above CHUNK among them, give each row what it gets alone in its batch."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(400)])
+    sizes = [30_000, 1, 200_000, 0, 40_000, 150_000, 30_000, 600_000, 5]
+    texts = [" ".join(rng.choice(words, n)) for n in sizes]
+    assert len(texts[7]) > ppm.CHUNK and sum(map(len, texts[:6])) < 2 * ppm.CHUNK
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    together = docs.coalesce(1)
+    model = ppm.train(together)
+    assert model.tokens == sum(sizes) + len(sizes) and model.distinct == len({w for t in texts for w in t.split()}) + 1
+    alone = {r["key"]: r["n"] for r in ppm.train(docs.repartition(len(texts), "doc_id")).counts.where("kind = 1").collect()}
+    assert {r["key"]: r["n"] for r in model.counts.where("kind = 1").collect()} == alone
+    counts = Counter(w for t in texts for w in t.split())
+    base = {w: math.log10((n + 1) / (model.tokens + model.distinct + 1)) for w, n in counts.items()}
+    end = math.log10((len(texts) + 1) / (model.tokens + model.distinct + 1))
+    split = {r["doc_id"]: r["score"] for r in ppm.score(docs.repartition(len(texts), "doc_id"), model).collect()}
+    for r in ppm.score(together, model).collect():
+        own = texts[r["doc_id"]].split()
+        assert (r["n_tokens"], r["n_known"]) == (len(own) + 1, len(own) + 1)
+        assert r["base_score"] == pytest.approx(sum(base[w] for w in own) + end)
+        assert r["score"] == pytest.approx(split[r["doc_id"]])
+
+
+def test_words_take_whole_bytes_only():
+    data, offsets = np.frombuffer(b"some words", np.uint8), np.array([0, 4, 10])
+    with pytest.raises(ValueError, match="not over all"):
+        Words(data, offsets[:2], BLANKS)
+    with pytest.raises(ValueError, match="not over all"):
+        Words(data, offsets[1:], BLANKS)
