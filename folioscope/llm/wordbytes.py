@@ -41,16 +41,19 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def byte_table(separators: bytes) -> np.ndarray:
-    """A random value for each byte; 0 marks separators; A-Z are the same as a-z."""
+def byte_table(separators: bytes, fold: bool = True) -> np.ndarray:
+    """A random value for each byte; 0 marks separators; with ``fold`` A-Z are the same as a-z."""
     table = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD) | np.uint64(1)
-    table[65:91] = table[97:123]
+    if fold:
+        table[65:91] = table[97:123]
     table[list(separators)] = 0
     return table
 
 
 #: Separators of words ``[^\x20\x09-\x0D]+``.
 BLANKS = byte_table(bytes([0x20, *range(0x09, 0x0E)]))
+#: The same separators, with A-Z other than a-z.
+CASED = byte_table(bytes([0x20, *range(0x09, 0x0E)]), fold=False)
 #: Separators of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``, after A-Z became a-z.
 NON_ALPHANUMERIC = byte_table(bytes(b for b in range(128) if not (chr(b).isdigit() or chr(b).isalpha())))
 
