@@ -9,13 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, html_paths, incidence, manifest, periodic, ppm, raking, ring, rules, transducer, transcripts, vector_passes
+from folioscope.llm import decontaminate, html_paths, incidence, manifest, periodic, ppm, raking, retrieval_packing, ring, rules, transducer, transcripts, vector_passes
 
 #: Targets of the mix: flatter over sources, somewhat flatter over languages and topics.
 MIX: raking.Targets = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 MIX_KEEP = 0.6
 SHARDS = 24
 TOKEN_LIMIT = 1024
+#: The id after every document that is packed.
+PACKING_END = 2
 #: Share of turns whose speaker marker is left out when transcripts are made from conversations, in sixteenths.
 UNMARKED = 3
 
@@ -73,6 +75,13 @@ def op10_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidence.similar_sets(table(spark, sf_dir, "documents"))
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = retrieval_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), PACKING_END)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text): a tenth of the texts, by id, with the words from some place on replaced by repetitions of the first of them."""
     rest = "array_join(transform(sequence(0, n - 1), i -> get(w, CAST(if(i < a, i, a + (i - a) % (1 + (n - a) div (3 + g % 8))) AS INT))), ' ')"
@@ -80,7 +89,7 @@ def repeated_tails(docs: DataFrame) -> DataFrame:
         rest = re.sub(rf"\b{name}\b", f"d.{name}", rest)  # bound once for each text, not for each word
     words = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
     sized = f"transform(array({words}), w -> named_struct('w', w, 'n', size(w), 'g', h div 10))"
-    placed = f"transform({sized}, d -> named_struct('w', d.w, 'n', d.n, 'g', d.g, 'a', d.g % d.n))"
+    placed = f"transform({sized}, d -> named_struct('w', d.w, 'n', d.n, 'g', d.g, 'a', d.g % greatest(d.n, 1)))"
     made = f"if(h % 10 = 0, transform({placed}, d -> if(d.n > 0, {rest}, text))[0], text)"
     return docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")).selectExpr("doc_id", f"{made} AS text")
 
@@ -111,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_ppm, op3_vector_passes, op4_ring, op5_rules, op6_html_paths, op7_transducer, op8_transcripts, op9_raking, op10_incidence,
-        op12_periodic_runs, op13_manifest,
+        op11_retrieval_packing, op12_periodic_runs, op13_manifest,
     )
 }
 
