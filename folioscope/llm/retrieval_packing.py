@@ -8,8 +8,10 @@ neighbour that overfills it is cut; its rest is the next seed. Statistics of ter
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.wordbytes import CASED, Words, byte_view, portions
+from folioscope.llm.wordbytes import BLANKS, Words, byte_view, portions
 from folioscope.session import discard, durable
 
 WINDOW = 4096
@@ -27,14 +29,14 @@ SHARD_TOKENS = 1 << 21
 #: Terms of a seed that its neighbours are found by.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-#: Words whose tokens a worker keeps; when there are more, it starts anew.
-KEPT = 1 << 20
+#: Words whose tokens a worker process keeps (about 24 bytes each); when there are more, it starts anew.
+KEPT = 3 << 19
 
 
 class WordTokens:
     """Token ids of texts, by words: each distinct word goes to the tokenizer once. Words are told apart by 64-bit hashes.
 
-    The tokenizer must drop white space and take words between blanks by themselves; others are refused.
+    The tokenizer must drop white space, take words between blanks by themselves and not tell A-Z from a-z; others are refused.
     """
 
     def __init__(self, path: str):
@@ -42,48 +44,54 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        apart = [i for w in ("It's", "Été", "a1!", "'d", "́x") for i in self._ids([w])[0]]
-        if self._ids([" It's\tÉté \n\na1! 'd ́x"])[0] != apart:
-            raise ValueError(f"{path}: the tokens of a word depend on what stands around it")
+        apart = [i for w in ("it's", "Été", "a1!", "'d", "́x") for i in self._ids([w])[0]]
+        if self._ids([" IT'S\tÉté \n\nA1! 'd ́x"])[0] != apart:
+            raise ValueError(f"{path}: the tokens of a word depend on its case or on what stands around it")
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._clear()
 
     def _ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def _clear(self) -> None:
-        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.ids = np.zeros(0, self.kind)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         found = self._ids(texts)
         sizes = np.array([len(x) for x in found], np.int64)
         begin = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), self.kind, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))])
         at = np.searchsorted(self.keys, hashes)
         self.keys, self.begin, self.size = np.insert(self.keys, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, sizes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``end_id``, and where each text's begin (one more than texts)."""
-        words = Words(data, offsets, CASED)
+        words = Words(data, offsets, BLANKS)
         if len(self.keys) > KEPT or len(self.ids) > 8 * KEPT:
             self._clear()
-        at = np.searchsorted(self.keys, words.hash)
-        at[at == len(self.keys)] = 0
-        new = self.keys[at] != words.hash if len(self.keys) else np.ones(len(at), bool)
+        hashes, first, each = np.unique(words.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(at), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != hashes[inside]
         if new.any():
-            unseen = np.flatnonzero(new)
-            hashes, first = np.unique(words.hash[unseen], return_index=True)
-            places = unseen[first]
-            self._learn(hashes, [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[places], words.end[places], strict=True)])
-            at = np.searchsorted(self.keys, words.hash)
-        sizes = self.size[at]
+            places = first[new]
+            self._learn(hashes[new], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[places], words.end[places], strict=True)])
+            at = np.searchsorted(self.keys, hashes)
+        sizes = self.size[at].astype(np.int64)[each]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.arange(before[-1]) + np.repeat(self.begin[at] - before[:-1], sizes)]
+        ids = self.ids[np.arange(before[-1]) + np.repeat(self.begin[at].astype(np.int64)[each] - before[:-1], sizes)]
         begins = before[words.first]  # of each text, without the end tokens
         return np.insert(ids, begins[1:], end_id), begins + np.arange(len(begins))
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a worker process."""
+    return WordTokens(path)
+
+
 def _terms(ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of the distinct terms of each document, by document and term; end tokens are no terms."""
     doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins) - 1)
@@ -99,7 +107,7 @@ def tokenized(docs: DataFrame, id_column: str, text_column: str, path: str, end_
     """(id, tokens, n, df), stored: a row for each document with its ids as little-endian bytes, and rows with document counts of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = word_tokens(path)
         seen = np.zeros(words.library.get_vocab_size(), np.int64)
         kind = None
         for batch in portions(batches, 1):
