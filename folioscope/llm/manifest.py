@@ -29,20 +29,21 @@ def digest(*parts: Column) -> Column:
 
 
 def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``place``, their number from 0 by ``order``.
+    """``rows`` with ``pos``, their number from 0 in their ``grp`` by ``order``, and ``size``, the number of rows there.
 
-    Rows are dealt by range and numbered inside their partition; only one count for each partition is
-    added up in one place. ``rows`` must be a stored table, since the ranges are sampled first.
+    Rows are dealt by range of ``grp`` and ``order`` and numbered inside their partition. What is added up over a
+    group is one count for each partition that has rows of it, and rows meet these counts by partition and group: no
+    group, however large, is in one task. ``rows`` must be a stored table, since the ranges are sampled first.
     """
     numbered = rows.withColumn("_seed", F.monotonically_increasing_id())  # parts also rows that are equal in all of ``order``
-    dealt = numbered.repartitionByRange(*order, "_seed").sortWithinPartitions(*order, "_seed").drop("_seed")
+    dealt = numbered.repartitionByRange("grp", *order, "_seed").sortWithinPartitions("grp", *order, "_seed").drop("_seed")
     stored = durable(dealt.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = counts.select("_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
-    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
-    return stored.withColumn("_part", part).join(before, "_part").withColumn("place", F.col("_before") + inside).drop("_part", "_before", "_at")
+    stored = stored.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    parts = Window.partitionBy("grp").orderBy("_part")
+    counts = stored.groupBy("_part", "grp").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select("_part", "grp", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(Window.partitionBy("grp")).alias("size"))
+    return stored.join(shifts, ["_part", "grp"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
 def _slots(fanout: int) -> list[str]:
@@ -119,27 +120,22 @@ def manifest(
         digest(*(field(F.col(f)) for f in fields)).alias("leaf"),
         digest(*(field(changed.get(f, F.col(f))) for f in fields)).alias("seen"),
     )
-    ordered = placed(durable(rows), "grp", "id", "leaf")
-    groups = ordered.groupBy("grp").agg(F.min("place").alias("first"), F.count("*").alias("size"))
-    base = ordered.join(groups, "grp").select("grp", (F.col("place") - F.col("first")).alias("pos"), "size", F.struct(F.col("leaf").alias("digest"), "seen", "id").alias("node"))
-    most = groups.agg(F.max("size")).first()[0] or 0
+    base = placed(durable(rows), "id", "leaf").select("grp", "pos", "size", F.struct(F.col("leaf").alias("digest"), "seen", "id").alias("node"))
+    most = base.agg(F.max("size")).first()[0] or 0
     levels = _climb(base, most, fanout)
 
     lone = base.where("size = 1")
     tops = reduce(DataFrame.unionByName, (x.where("size = 1").select("grp", F.col("node.digest").alias("subroot")) for x in (lone, *levels)))
-    ranked = placed(durable(tops), "grp")
+    ranked = placed(durable(tops.select(F.lit("").alias("grp"), F.col("grp").alias("of"), "subroot")), "of")
     count = ranked.count()
-    upper = ranked.select(
-        F.lit("").alias("grp"), F.col("place").alias("pos"), F.lit(count).cast("long").alias("size"),
-        F.struct(F.col("subroot").alias("digest"), F.col("grp").alias("of")).alias("node"),
-    )
+    upper = ranked.select("grp", "pos", "size", F.struct(F.col("subroot").alias("digest"), "of").alias("node"))
     step = "array<struct<left string, right string>>"
     if count > 1:
         above = _climb(upper, count, fanout)
         root = above[-1].select("grp", F.array().cast(step).alias("path"), F.col("node.digest").alias("root"))
         told = _descend(above, root, fanout).select(F.col("node.of").alias("grp"), "path", F.col("node.digest").alias("subroot"), "root")
     else:
-        told = ranked.select("grp", F.array().cast(step).alias("path"), "subroot", F.col("subroot").alias("root"))
+        told = ranked.select(F.col("of").alias("grp"), F.array().cast(step).alias("path"), "subroot", F.col("subroot").alias("root"))
     told = durable(told)
 
     alone = lone.join(told, "grp").select("node", "path", "subroot", "root")
