@@ -530,8 +530,16 @@ spellings AS (SELECT DISTINCT canonical_name, {D.sql_fold_plain('a')} AS alias_n
 hits AS (SELECT doc_id, canonical_name, alias_norm, value FROM folded, spellings WHERE contains(value, alias_norm)),
 spots AS (SELECT doc_id, canonical_name, length(alias_norm) AS n, unnest(list_filter(range(1, length(value) - length(alias_norm) + 2),
     lambda i: substr(value, i, length(alias_norm)) = alias_norm)) AS start FROM hits),
-kept AS (SELECT * FROM spots s WHERE NOT EXISTS (SELECT 1 FROM spots o WHERE o.doc_id = s.doc_id AND o.n > s.n
-    AND o.start < s.start + s.n AND s.start < o.start + o.n)),
+turns AS (SELECT s.*, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, start, {D.sql_fold_label('canonical_name')}, canonical_name) AS k FROM spots s),
+greedy AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS taken, true AS fits FROM turns WHERE k = 1
+  UNION ALL
+  SELECT t.doc_id, t.k, CASE WHEN len(list_filter(taken, lambda x: t.start < x.b AND x.a < t.start + t.n)) = 0
+      THEN list_append(taken, {{'a': t.start, 'b': t.start + t.n}}) ELSE taken END,
+    len(list_filter(taken, lambda x: t.start < x.b AND x.a < t.start + t.n)) = 0
+  FROM greedy g JOIN turns t ON t.doc_id = g.doc_id AND t.k = g.k + 1
+),
+kept AS (SELECT t.* FROM turns t JOIN greedy g USING (doc_id, k) WHERE g.fits),
 firsts AS (SELECT doc_id, canonical_name, min(start) AS start FROM kept GROUP BY ALL),
 found AS (SELECT doc_id, string_agg(canonical_name, ' / ' ORDER BY start) AS query_funds, count(*) AS n_funds, any_value(canonical_name) AS one FROM firsts GROUP BY doc_id)"""
 
@@ -542,7 +550,7 @@ def text_queries(spark, sf):
 
 @query(
     "query_entities",
-    D.ctes(D.SQL_PASSAGES, _FOUND) + """SELECT CAST(d.doc_id AS VARCHAR) AS query_id, coalesce(query_funds, '') AS query_funds,
+    D.ctes(D.SQL_PASSAGES, _FOUND, recursive=True) + """SELECT CAST(d.doc_id AS VARCHAR) AS query_id, coalesce(query_funds, '') AS query_funds,
       CASE WHEN query_funds IS NULL THEN 'no_fund' ELSE 'fund' END AS route FROM documents d LEFT JOIN found USING (doc_id)""",
 )
 def query_entities(spark, sf):
@@ -555,7 +563,7 @@ def query_entities(spark, sf):
 
 @query(
     "query_without_entities",
-    D.ctes(D.SQL_PASSAGES, _FOUND) + r""", pieces AS (SELECT d.doc_id, text, list(DISTINCT a ORDER BY length(a) DESC, a) AS spell FROM documents d
+    D.ctes(D.SQL_PASSAGES, _FOUND, recursive=True) + r""", pieces AS (SELECT d.doc_id, text, list(DISTINCT a ORDER BY length(a) DESC, a) AS spell FROM documents d
         JOIN firsts f USING (doc_id) JOIN (SELECT canonical_name, canonical_name AS a FROM names UNION SELECT canonical_name, short FROM names) USING (canonical_name) GROUP BY ALL),
     cleared AS (SELECT doc_id, text, list_reduce(list_prepend(text, spell), lambda t, a: regexp_replace(t, regexp_escape(a), ' ', 'gi')) AS rest FROM pieces),
     tidy AS (SELECT doc_id, text, trim(regexp_replace(rest, '\s+', ' ', 'g'), ' ,;:-') AS rest FROM cleared)

@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import QUERY_EDGES, WHITESPACE, fold_label, fold_plain, squeeze
 from folioscope.session import durable
 
-HEAD = 4  # characters of a needle without any gap
-GRAMS = (3, 1)  # characters kept on each side of a word gap: usual, and for very short words
+#: Characters of names that one automaton holds, some 100 bytes each; more names take several passes over the texts.
+SLICE_CHARS = 1 << 20
+
+
+class Needles:
+    """Strings to look for all at once. The automaton over them is built once in each process that uses it."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = strings
+        self._automaton = None
+
+    def __getstate__(self) -> list[str]:
+        return self.strings
+
+    def __setstate__(self, strings: list[str]) -> None:
+        self.__init__(strings)
+
+    def found(self, text: str) -> Iterator[tuple[int, int]]:
+        """(index of the string, place of its first character) of every occurrence, overlapping ones too."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for k, string in enumerate(self.strings):
+                self._automaton.add_word(string, k)
+            self._automaton.make_automaton()
+        for end, k in self._automaton.iter(text):
+            yield k, end - len(self.strings[k]) + 1
 
 
 def alias_table(registry: DataFrame, fold=fold_label) -> DataFrame:
@@ -24,83 +51,78 @@ def alias_table(registry: DataFrame, fold=fold_label) -> DataFrame:
     )
 
 
-def _needle_gram(needle: Column) -> Column:
-    """``n`` and ``gram`` of a needle: its word gap with the most characters on both sides.
+def sliced(needles: DataFrame, needle: str) -> tuple[DataFrame, int]:
+    """Distinct non-empty needles with their ``slice``, stored, and the number of slices, each within SLICE_CHARS if no needle is longer."""
+    own = needles.select(F.col(needle).alias("needle")).where("needle <> ''").distinct()
+    own = durable(own.select("needle", F.xxhash64("needle").alias("h"), F.length("needle").alias("n")))
+    total = own.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    slices = -(-(total["n"] or 0) // SLICE_CHARS)
+    while slices:
+        sums = own.groupBy(F.pmod("h", F.lit(slices)).alias("slice")).agg(F.sum("n").alias("n"), F.count("*").alias("needles"))
+        if sums.where(f"n > {SLICE_CHARS} and needles > 1").isEmpty():
+            break
+        slices *= 2
+    return own.select("needle", F.pmod("h", F.lit(max(slices, 1))).alias("slice")), slices
 
-    ``n`` characters (one of ``GRAMS``) are taken before and after the gap. A needle without a
-    gap has ``n = 0`` and uses its head.
-    """
-    words = F.split(needle, " ")
-    gaps = F.zip_with(
-        F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)),
-        lambda a, b: F.struct(
-            F.when(F.least(F.length(a), F.length(b)) >= GRAMS[0], GRAMS[0]).otherwise(GRAMS[1]).alias("n"), F.concat(a, F.lit(" "), b).alias("gram"),
-            F.length(a).alias("cut"),
-        ),
-    )
-    best = F.array_max(gaps)
-    cut = F.substr(best["gram"], best["cut"] - best["n"] + 1, best["n"] * 2 + 1)
-    none = F.struct(F.lit(0).alias("n"), F.left(needle, F.lit(HEAD)).alias("gram"))
-    return F.when(F.size(words) > 1, F.struct(best["n"].alias("n"), cut.alias("gram"))).otherwise(none)
-
-
-def _grams(haystack: Column, sizes: Sequence[int], heads: Sequence[int]) -> Column:
-    """Distinct grams of a text: around every word gap, and every run of each head length."""
 
-    def gap(n: int):
-        return lambda a, b: F.concat(F.right(a, F.lit(n)), F.lit(" "), F.left(b, F.lit(n)))
-
-    def around(w: Column) -> Column:
-        return F.concat(*[F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), gap(n)) for n in sizes])
-
-    parts = [F.regexp_extract_all(haystack, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in heads]
-    if sizes:  # the one-element array lets every gram size share a single split
-        parts.append(F.flatten(F.transform(F.array(F.split(haystack, " ")), around)))
-    return F.array_compact(F.array_distinct(F.concat(*parts)))
+def occurrences(
+    texts: DataFrame, keys: Sequence[str], haystack: str, needles: DataFrame, needle: str,
+    fold: Callable[[Column | str], Column] | None = None, places: bool = False,
+) -> DataFrame:
+    """(keys, needle), once for each text and needle inside it; with ``places`` every occurrence and its ``start`` from 1.
+
+    With ``fold`` the haystack column is raw text and is folded here. Needles are cut to slices of bounded size; for each
+    slice an automaton over all its needles is told to the tasks, which read every text once and emit true hits
+    only, whatever the needles have in common. With several slices the folded texts are stored once and so are the
+    hits of each. Null texts have no hits, empty needles are left out, repeated texts and keys are kept apart as rows.
+    """
+    keys = list(keys)
+    prepared = texts.select(*keys, (fold(haystack) if fold else F.col(haystack)).alias("_text"))
+    kinds = ", ".join(f"`{k}` {prepared.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, `{needle}` string" + (", start int" if places else "")
+    strings, slices = sliced(needles, needle)
+    if slices > 1 and fold:
+        prepared = durable(prepared)
+    parts = [_found(prepared, schema, needle, [r["needle"] for r in strings.where(F.col("slice") == k).collect()], places) for k in range(slices)]
+    if not parts:
+        return texts.sparkSession.createDataFrame([], schema)
+    return parts[0] if slices == 1 else reduce(DataFrame.unionByName, [durable(p) for p in parts])
+
+
+def _found(prepared: DataFrame, schema: str, needle: str, strings: list[str], places: bool) -> DataFrame:
+    told = prepared.sparkSession.sparkContext.broadcast(Needles(strings))
+    texts = len(prepared.columns) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needles = told.value
+        for batch in batches:
+            rows, which, starts = [], [], []
+            for row, text in enumerate(batch.column(texts)):
+                text = text.as_py()
+                hits = needles.found(text) if text else ()
+                if not places:
+                    hits = dict.fromkeys(k for k, _ in hits)
+                    which += hits
+                    rows += [row] * len(hits)
+                    continue
+                for k, place in hits:
+                    rows.append(row)
+                    which.append(k)
+                    starts.append(place + 1)
+            names = pa.array([needles.strings[k] for k in which], pa.string())
+            at = pa.array(rows, pa.int64())
+            columns = [*(c.take(at) for c in batch.columns[:texts]), names, *([pa.array(starts, pa.int32())] if places else [])]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:texts], needle, *(["start"] if places else [])])
+
+    return prepared.mapInArrow(run, schema)
 
 
 def find_substrings(
     texts: DataFrame, keys: Sequence[str], haystack: str, needles: DataFrame, needle: str,
     fold: Callable[[Column | str], Column] | None = None,
-) -> DataFrame:
-    """Distinct (key, needle) pairs where the needle occurs anywhere inside the haystack.
-
-    With ``fold`` the haystack column is raw text and is folded here; verification then folds
-    only the texts that have a candidate.
-
-    Every needle has one short gram around one of its word gaps; texts are exploded to their
-    grams of the same sizes and met by an equi-join, then verified. No text x needle product
-    arises, and Spark may broadcast the needle side or not as its size allows.
-    """
-    keys = list(keys)
-    gram = _needle_gram(F.col(needle))
-    shaped = needles.select(F.col(needle).alias("_needle"), gram.alias("_g")).select(
-        "_needle", "_g.n", F.col("_g.gram").alias("_gram")
-    ).distinct()
-    kinds = shaped.select("n", F.when(F.col("n") == 0, F.length("_gram")).otherwise(0).alias("head")).distinct()
-    found = [(r.n, r.head) for r in kinds.collect()]  # at most a handful of gram shapes
-    sizes, heads = sorted(n for n, _ in found if n), sorted(h for n, h in found if not n)
-    if not found:
-        heads = [1]
-    prepared = texts.select(*keys, (fold(haystack) if fold else F.col(haystack)).alias("_text"))
-    grams = _grams(F.col("_text"), sizes, heads)
-    # candidate pairs are few; storing them avoids a second gram pass and gives Spark their size
-    candidates = durable(
-        prepared.select(*keys, F.explode(grams).alias("_gram"))
-        .join(shaped.select("_needle", "_gram"), "_gram")
-        .select(*keys, "_needle")
-        .distinct()
-    )
-    hits = texts.select(*keys, haystack)
-    if fold:
-        # stored between, or Spark would move the folding below the join and fold every text
-        hits = durable(hits.join(candidates.select(*keys).distinct(), keys, "left_semi"))
-        hits = hits.withColumn(haystack, fold(haystack))
-    hits = hits.join(candidates, keys)
-    # coalesce keeps Spark from deriving a separate not-null filter that would fold once more
-    return hits.filter(F.coalesce(F.contains(F.col(haystack), F.col("_needle")), F.lit(False))).select(
-        *keys, F.col("_needle").alias(needle)
-    )
+) -> DataFrame:
+    """Distinct (key, needle) pairs where the needle occurs anywhere inside the haystack; see ``occurrences``."""
+    return occurrences(texts, keys, haystack, needles, needle, fold).distinct()
 
 
 def best_match(pairs: DataFrame, keys: Sequence[str], aliases: DataFrame) -> DataFrame:
@@ -130,9 +152,9 @@ def mentions(texts: DataFrame, keys: Sequence[str], text: str, registry: DataFra
 
 
 def greedy_longest(matches: Column) -> Column:
-    """Non-overlapping matches, longest first, earlier first among equals.
+    """Non-overlapping matches, longest first, earlier first among equals, then in registry order (by folded name).
 
-    ``matches`` holds structs with ``start``, ``stop`` and ``fund``. A match blocked only by a
+    ``matches`` holds structs with ``start``, ``stop``, ``place`` (of the name in the registry) and ``fund``. A match blocked only by a
     match that was itself rejected is kept, hence the fold.
     """
     ordered = F.array_sort(
@@ -140,7 +162,7 @@ def greedy_longest(matches: Column) -> Column:
             matches,
             lambda m: F.struct(
                 (m["start"] - m["stop"]).alias("neg_len"), m["start"].alias("start"),
-                m["stop"].alias("stop"), m["fund"].alias("fund"),
+                m["stop"].alias("stop"), m["place"].alias("place"), m["fund"].alias("fund"),
             ),
         )
     )
@@ -157,25 +179,13 @@ def greedy_longest(matches: Column) -> Column:
 def detect_entities(queries: DataFrame, registry: DataFrame, query: str = "query") -> DataFrame:
     """Add ``query_funds``: entities named in each query, in order of first mention."""
     aliases = alias_table(registry, fold_plain)
-    folded = durable(queries.select("query_id", fold_plain(query).alias("_folded")))
-    pairs = find_substrings(folded, ["query_id"], "_folded", aliases, "alias_norm")
-    size = F.length("alias_norm")
-    places = F.filter(
-        F.sequence(F.lit(1), F.length("_folded") - size + 1),
-        lambda i: F.substr(F.col("_folded"), i, size) == F.col("alias_norm"),
-    )
+    folded = queries.select("query_id", fold_plain(query).alias("_folded"))
+    places = occurrences(folded, ["query_id"], "_folded", aliases, "alias_norm", places=True)
+    stop = F.col("start") + F.length("alias_norm")
     found = (
-        folded.join(pairs, "query_id")
-        .join(aliases.select("alias_norm", "canonical_name").distinct(), "alias_norm")
-        .select("query_id", "canonical_name", "alias_norm", F.explode(places).alias("start"))
+        places.join(aliases.select("alias_norm", "canonical_name", fold_label("canonical_name").alias("place")).distinct(), "alias_norm")
         .groupBy("query_id")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    F.col("start"), (F.col("start") + size).alias("stop"), F.col("canonical_name").alias("fund")
-                )
-            ).alias("_matches")
-        )
+        .agg(F.collect_list(F.struct("start", stop.alias("stop"), "place", F.col("canonical_name").alias("fund"))).alias("_matches"))
     )
     in_order = F.array_sort(
         F.transform(greedy_longest(F.col("_matches")), lambda m: F.struct(m["start"], m["fund"].alias("fund")))

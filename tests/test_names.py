@@ -14,7 +14,7 @@ def test_longest_spelling_wins_and_rejected_matches_do_not_block(spark):
     got = {r.query_id: r for r in names.strip_entities(names.detect_entities(q, reg), reg).collect()}
     assert got["1"].query_funds == ["K&H egészség 2"] and got["1"].search_query == "Aim of ?"
     assert got["2"].query_funds == ["K&H egészség", "K&H egészség 2"]
-    spans = spark.createDataFrame([([(0, 10, "a"), (8, 14, "b"), (13, 16, "c")],)], "m ARRAY<STRUCT<start: INT, stop: INT, fund: STRING>>")
+    spans = spark.createDataFrame([([(0, 10, "", "a"), (8, 14, "", "b"), (13, 16, "", "c")],)], "m ARRAY<STRUCT<start: INT, stop: INT, place: STRING, fund: STRING>>")
     kept = spans.select(names.greedy_longest(F.col("m"))).first()[0]
     assert [(k.start, k.stop) for k in kept] == [(0, 10), (13, 16)]
 
@@ -30,6 +30,41 @@ def test_substring_join_matches_brute_force(spark):
     assert got == {(i, n) for i, t in enumerate(texts) for n in needles if n in t}
 
 
+def test_names_with_one_suffix_cost_their_hits_only(spark):
+    """300 names share a phrase; a text that holds the phrase meets only the names that are in it."""
+    needles = spark.createDataFrame([(f"name{k} global equity index fund",) for k in range(300)], "n STRING")
+    texts = ["the name7 global equity index fund and name70 global equity index fund", "no global equity index fund", None, ""]
+    left = spark.createDataFrame(list(enumerate(texts * 50)), "i INT, t STRING")
+    hits = names.occurrences(left, ["i"], "t", needles, "n")
+    assert hits.count() == 100
+    assert {r.n for r in hits.collect()} == {"name7 global equity index fund", "name70 global equity index fund"}
+    starts = sorted((r.i, r.start) for r in names.occurrences(left.where("i = 0"), ["i"], "t", needles, "n", places=True).collect())
+    assert starts == [(0, 5), (0, 40)]
+
+
+def test_needles_in_slices(spark, monkeypatch):
+    """Several passes find what one does; each text is read once for each slice and hits are stored between."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    needles = spark.createDataFrame([(w,) for w in [*words, "", *words[:5]]], "n STRING")
+    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    left = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    expected = {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+    monkeypatch.setattr(names, "SLICE_CHARS", 60)
+    assert names.sliced(needles, "n")[1] > 4
+    got = names.find_substrings(left, ["i"], "t", needles, "n", lambda c: F.upper(F.lower(F.col(c))))
+    assert got.count() == 0
+    got = names.find_substrings(left, ["i"], "t", needles, "n", lambda c: F.lower(F.col(c)))
+    assert {tuple(r) for r in got.collect()} == expected
+    assert names.find_substrings(left, ["i"], "t", needles.limit(0), "n").count() == 0
+
+
+def test_equal_places_go_by_folded_name(spark):
+    reg = spark.createDataFrame([("Zeta Fund", ["Common Name"], 0), ("alpha fund", ["common name"], 0), ("Beta Fund", ["COMMON NAME"], 0)], REG)
+    q = spark.createDataFrame([("1", "On the common name now")], "query_id STRING, query STRING")
+    assert names.detect_entities(q, reg).first().query_funds == ["alpha fund"]
+
+
 def test_mentions_cross_short_pages(spark):
     reg = spark.createDataFrame([("Alpha Beta Gamma Delta", [], 0), ("Omega Fund", [], 0)], REG)
     parts = [("a", 1, "see Alpha,"), ("a", 2, "x"), ("b", 1, "the Alpha"), ("b", 2, "Beta"), ("b", 3, ""), ("b", 4, "Gamma"), ("b", 5, "Delta."), ("c", 1, "Omega\nfund")]
