@@ -32,6 +32,8 @@ class Needles:
 
     def found(self, text: str) -> Iterator[tuple[int, int]]:
         """(index of the string, place of its first character) of every occurrence, overlapping ones too."""
+        if not self.strings:
+            return
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
             for k, string in enumerate(self.strings):
