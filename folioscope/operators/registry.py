@@ -1,20 +1,22 @@
 """Registry building: order-dependent clustering of candidate names, made distributed.
 
 The rule is greedy (first matching group in sorted order), so only names linked by the alias
-relation can influence each other. Names fall into connected components of that relation and
-each component is folded on its own, over distinct names and not over candidate rows: a name
-repeated in a third of the corpus is one entry. Rows then find their group by an equi-join.
+relation can influence each other. Names fall into connected components of that relation, and
+each component is replayed on its own as a process of labels along its links, over distinct names and
+not over candidate rows: a name repeated in a third of the corpus is one entry. Rows then find their
+group by an equi-join.
 """
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold_label
+from folioscope.operators.components import components
 from folioscope.session import durable
 
 # Strength of evidence, unknown methods last; shape of an umbrella prefix.
@@ -25,6 +27,7 @@ UMBRELLA_WORDS = 4
 
 POSITION = "STRUCT<priority: INT, document: STRING, page: INT, norm: STRING, seq: BIGINT>"
 _PARTS = ("priority", "document", "page", "norm", "seq")
+_NAME = _PARTS.index("norm")
 
 
 def method_priority(method: Column) -> Column:
@@ -56,81 +59,43 @@ def umbrella_links(names: DataFrame) -> DataFrame:
     return suffixes.join(names.select(F.col("norm").alias("short")), "short").select("norm", "short").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``norm, component`` for linked names: least name reached along links."""
-    edges = links.select(F.col("norm").alias("a"), F.col("short").alias("b"))
-    edges = durable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(
-        edges.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("norm"), F.least("a", "m").alias("component")
-        )
-    )
-    while True:  # every round but the last lowers a label
-        reached = (
-            edges.join(labels, edges.b == labels.norm).groupBy("a").agg(F.min("component").alias("m"))
-        )
-        # a label is itself a name: following it halves the remaining distance
-        hop = labels.select(F.col("norm").alias("component"), F.col("component").alias("further"))
-        updated = durable(
-            labels.join(reached, labels.norm == reached.a)
-            .join(hop, "component", "left")
-            .select("norm", F.least("component", "m", F.coalesce("further", "component")).alias("component"))
-        )
-        before = labels.select("norm", F.col("component").alias("old"))
-        if updated.join(before, "norm").filter(F.col("component") != F.col("old")).isEmpty():
-            return updated
-        labels = updated
-
-
-def same_entity(a: str, b: str) -> bool:
-    """Equal folded names, or one is the other behind a short umbrella prefix."""
-    if a == b:
-        return True
-    short, long = sorted((a, b), key=len)
-    if not long.endswith(short):
-        return False
-    prefix = long[: len(long) - len(short)].strip()
-    return bool(prefix) and len(prefix.split()) <= UMBRELLA_WORDS and bool(
-        re.search(r"\b(?:fund|фонд)\b", prefix)
-    )
-
-
-_FOLDED = "component STRING, norm STRING, start " + POSITION + ", group STRING, wants_after BOOLEAN"
+_STEPS = "component STRING, norm STRING, start " + POSITION + ", group STRING, wants_after BOOLEAN"
 
 
-def _fold_component(rows: pd.DataFrame) -> pd.DataFrame:
-    """Replay the arrivals of one component.
+def _replay(arrivals: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Labels of the names of one component over time: the steps at which a name's label changes.
 
-    Emits a step whenever a name enters a new group, and a request when a name already seen
-    would now go elsewhere, so that its next arrival becomes known.
+    A group is known by its founding arrival. An arriving name takes the earliest label among its own and those
+    that linked names have offered it, or founds a group; a label that changes is offered along the name's links, so an
+    arrival without change costs nothing and every change its links. Where an offer beats the label of a name that
+    is already there, the name's next arrival will move it: that arrival is asked for (``wants_after``).
     """
-    arrivals = sorted(tuple(r) for r in rows[list(_PARTS)].itertuples(index=False, name=None))
-    component = rows["component"].iloc[0]
-    groups: list[list[str]] = []
-    current: dict[str, int] = {}
-    out = []
-
-    def first_group(name: str) -> int | None:
-        return next((i for i, g in enumerate(groups) if any(same_entity(name, a) for a in g)), None)
-
-    for place in arrivals:
-        name = place[3]
-        target = first_group(name)
-        if target is None:
-            groups.append([])
-            target = len(groups) - 1
-        if current.get(name) == target:
+    near: dict[str, list[str]] = defaultdict(list)
+    for long, short in zip(links["norm"], links["short"], strict=True):
+        near[long].append(short)
+        near[short].append(long)
+    places = sorted(arrivals[list(_PARTS)].itertuples(index=False, name=None))
+    label: dict[str, int] = {}
+    offered: dict[str, int] = {}
+    steps: list[tuple[str, tuple, int, bool]] = []
+    for at, place in enumerate(places):
+        name = place[_NAME]
+        earliest = min(label.get(name, at), offered.get(name, at))
+        if label.get(name) == earliest:
             continue
-        current[name] = target
-        groups[target].append(name)
-        label = f"{component}\x1f{target:06d}"
-        out.append((component, name, place, label, False))
-        for other, held in current.items():
-            if first_group(other) != held:
-                out.append((component, other, place, label, True))
-    frame = pd.DataFrame(out, columns=["component", "norm", "start", "group", "wants_after"])
-    frame["start"] = [dict(zip(_PARTS, p)) for p in frame["start"]]
-    return frame
+        label[name] = earliest
+        steps.append((name, place, earliest, False))
+        for other in near[name]:
+            offered[other] = min(offered.get(other, earliest), earliest)
+            if earliest < label.get(other, earliest):
+                steps.append((other, place, earliest, True))
+    component = (arrivals if len(arrivals) else links)["component"].iloc[0]
+    return pd.DataFrame(
+        {
+            "component": component, "norm": [s[0] for s in steps], "start": [dict(zip(_PARTS, s[1], strict=True)) for s in steps],
+            "group": [f"{component}\x1f{s[2]:012d}" for s in steps], "wants_after": [s[3] for s in steps],
+        }
+    )
 
 
 def group_steps(rows: DataFrame) -> DataFrame:
@@ -142,12 +107,13 @@ def group_steps(rows: DataFrame) -> DataFrame:
     )
     if links.isEmpty():
         return lonely
-    member = durable(components(links))
+    member = durable(components(links.select(F.col("norm").alias("a"), F.col("short").alias("b"))).withColumnRenamed("node", "norm"))
+    linked = durable(links.join(member, "norm").select("component", "norm", "short"))
     arrivals = firsts.join(member, "norm").select("component", "pos.*")
     asked: DataFrame | None = None
     while True:  # every round but the last adds one of finitely many arrivals
-        folded = durable(arrivals.groupBy("component").applyInPandas(_fold_component, _FOLDED))
-        wanted = folded.filter("wants_after").select("component", "norm", "start").distinct()
+        replayed = durable(arrivals.groupBy("component").cogroup(linked.groupBy("component")).applyInPandas(_replay, _STEPS))
+        wanted = replayed.filter("wants_after").select("component", "norm", "start").distinct()
         if asked is not None:
             wanted = wanted.join(asked, ["component", "norm", "start"], "left_anti")
         wanted = durable(wanted)
@@ -159,11 +125,11 @@ def group_steps(rows: DataFrame) -> DataFrame:
         )
         asked = wanted if asked is None else asked.unionByName(wanted)
         arrivals = durable(arrivals.unionByName(upcoming.select("component", "pos.*")).distinct())
-    linked = folded.filter(~F.col("wants_after")).groupBy("norm").agg(
+    moved = replayed.filter(~F.col("wants_after")).groupBy("norm").agg(
         F.array_sort(F.collect_list(F.struct("start", "group"))).alias("steps")
     )
     alone = lonely.join(member, "norm", "left_anti")
-    return alone.unionByName(linked)
+    return alone.unionByName(moved)
 
 
 def assign_groups(candidates: DataFrame) -> DataFrame:

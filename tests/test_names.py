@@ -53,7 +53,7 @@ def test_needles_in_slices(spark, monkeypatch):
     monkeypatch.setattr(names, "SLICE_CHARS", 60)
     assert names.sliced(needles, "n")[1] > 4
     got = names.find_substrings(left, ["i"], "t", needles, "n", lambda c: F.upper(F.lower(F.col(c))))
-    assert got.count() == 0
+    assert {tuple(r) for r in got.collect()} == {(i, w) for i, t in enumerate(texts) for w in words if w in t.upper()}
     got = names.find_substrings(left, ["i"], "t", needles, "n", lambda c: F.lower(F.col(c)))
     assert {tuple(r) for r in got.collect()} == expected
     assert names.find_substrings(left, ["i"], "t", needles.limit(0), "n").count() == 0
