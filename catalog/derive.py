@@ -442,5 +442,32 @@ chunk_sizes AS (SELECT document || '::segment_' || printf('%03d', segment_index)
     document, segment_index, CAST(word_count AS INT) AS word_count FROM sizes)"""
 
 
+#: Whole chunks from word ranges: what a part has in a later chunk than its first is joined by spaces.
+SQL_CHUNK_TEXTS = f"""
+pos AS (SELECT *, sum(words) OVER w - words AS s, last_value(CASE WHEN heading THEN {sql_squeeze('text')} END IGNORE NULLS) OVER w AS section
+    FROM parts WINDOW w AS (PARTITION BY document, segment_index ORDER BY n)),
+ranges AS (
+  SELECT s.document, s.segment_index, s.closed - 1 AS number, p.s - s.closed_words AS a, p.s AS b FROM steps s
+    JOIN pos p ON p.document = s.document AND p.segment_index = s.segment_index AND p.n = s.n
+    LEFT JOIN steps o ON o.document = s.document AND o.segment_index = s.segment_index AND o.n = s.n - 1
+    WHERE s.n > 1 AND s.closed > o.closed
+  UNION ALL SELECT s.document, s.segment_index, s.closed, p.s + p.words - s.held, p.s + p.words FROM steps s
+    JOIN ends e ON e.document = s.document AND e.segment_index = s.segment_index AND e.last_n = s.n
+    JOIN pos p ON p.document = s.document AND p.segment_index = s.segment_index AND p.n = s.n),
+pieces AS (SELECT p.*, r.number, greatest(a - s, 0) AS skip, least(b, s + words) - greatest(a, s) AS take,
+    r.number > min(r.number) OVER (PARTITION BY p.document, p.segment_index, p.n) AS carried
+    FROM pos p JOIN ranges r ON r.document = p.document AND r.segment_index = p.segment_index AND s < b AND s + words > a),
+named AS (SELECT document, segment_index, number, section, min(n) AS n FROM pieces WHERE section IS NOT NULL GROUP BY ALL),
+last_named AS (SELECT document, segment_index, number, arg_max(section, n) AS section FROM named GROUP BY ALL),
+texts AS (SELECT document, segment_index, number, CAST(min(page) AS INT) AS page_start, CAST(max(page) AS INT) AS page_end, CAST(sum(take) AS INT) AS word_count,
+    array_to_string(list_sort(list(DISTINCT source_type)), ',') AS source_types,
+    string_agg(CASE WHEN carried THEN array_to_string(string_split({sql_squeeze('text')}, ' ')[skip + 1:skip + take], ' ') ELSE text END, chr(10) || chr(10) ORDER BY n) AS text
+    FROM pieces GROUP BY ALL),
+whole_chunks AS (SELECT t.document || '::segment_' || printf('%03d', t.segment_index) || '::chunk_' || printf('%03d', t.number) AS chunk_id, t.document, g.fund,
+    g.segment_type, t.segment_index, n.section, page_start, page_end, word_count, source_types, text
+    FROM texts t JOIN segs g ON g.document = t.document AND g.segment_index = t.segment_index
+    LEFT JOIN last_named n ON n.document = t.document AND n.segment_index = t.segment_index AND n.number = t.number)"""
+
+
 def ctes(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(p.strip() for p in parts) + "\n"

@@ -749,7 +749,7 @@ def chunk_sizes(spark, sf):
     return layout_chunks(spark, sf).select("chunk_id", "document", "segment_index", "word_count")
 
 
-@query("chunks")
+@query("chunks", D.ctes(*_CHUNK_PARTS, D.SQL_CHUNK_TEXTS, recursive=True) + "SELECT * FROM whole_chunks")
 def chunks(spark, sf):
     return layout_chunks(spark, sf).withColumn("source_types", F.array_join("source_types", ","))
 

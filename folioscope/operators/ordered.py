@@ -63,10 +63,13 @@ def carry_forward(
     bucket: Column,
     value: str,
     name: str,
+    strict: bool = False,
 ) -> DataFrame:
-    """Latest non-NULL ``value`` at or before each row of the key."""
+    """Latest non-NULL ``value`` at or before each row of the key; with ``strict``, before it."""
     keys = list(keys)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    if strict:
+        inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_bucket", bucket).withColumn(
         "_seen", F.last(value, ignorenulls=True).over(inside)
     )
