@@ -401,15 +401,62 @@ def list_table_state(spark, sf):
     return discovery.list_pages(tables)
 
 
-@query("registry_groups")
+_VALID = (
+    f"{D.sql_plausible('c')} AND f NOT IN ('summary', 'introduction', 'product', 'name', 'prospectus') "
+    "AND NOT starts_with(f, 'this product') AND NOT starts_with(f, 'this fund')"
+)
+_SQL_LABEL = discovery.LABEL.replace("(?iUd)", "(?i)")
+#: All candidates of the layout, their greedy clustering arrival by arrival, and the group of each. An arrival takes the
+#: earliest label of the names it is linked with; names without links are groups of their own.
+_REGISTRY = f"""
+stated AS (SELECT document, page, unnest(regexp_extract_all(text, '{_RELATION}', 1)) AS n, generate_subscripts(regexp_extract_all(text, '{_RELATION}', 1), 1) AS i FROM page_texts),
+labelled AS (SELECT *, {D.sql_label(f"regexp_extract(text, '{_SQL_LABEL}', 1)")} AS v, row_number() OVER (PARTITION BY document, page ORDER BY block_index) - 1 AS pos FROM nxt),
+raw_candidates AS (
+  SELECT title AS name, document, 1 AS page, 'fund_list_table' AS method, 0 AS priority, page - 2 AS seq FROM titles WHERE page >= 2
+  UNION ALL SELECT n, document, page, 'relation', 1, 1000000 + i - 1 FROM stated
+  UNION ALL SELECT CASE WHEN v <> '' THEN v ELSE following END, document, page, CASE WHEN v <> '' THEN 'label' ELSE 'label_next' END, 3, pos
+    FROM labelled WHERE regexp_matches(text, '{_SQL_LABEL}') AND (v <> '' OR following IS NOT NULL)
+  UNION ALL SELECT c.text, c.document, 1, 'quoted_title', 2, 0 FROM cb c JOIN (SELECT DISTINCT document, lang FROM titles) t ON t.document = c.document
+    WHERE page = 1 AND block_index = 0 AND lang <> 'en' AND len(string_split(c.text, ' ')) <= 16),
+cleaned AS (SELECT {D.sql_label('name')} AS c, {D.sql_fold_label('name')} AS f, * FROM raw_candidates),
+candidates AS (SELECT c AS name, f AS norm, document, page, method, priority, seq FROM cleaned WHERE {_VALID}),
+known AS (SELECT DISTINCT norm FROM candidates),
+links AS (SELECT l.norm, s.norm AS short FROM known l JOIN known s ON ends_with(l.norm, s.norm) AND l.norm <> s.norm
+    WHERE regexp_matches(l.norm[:len(l.norm) - len(s.norm)], '(?i)\\b(fund|фонд)\\b') AND len(string_split(trim(l.norm[:len(l.norm) - len(s.norm)]), ' ')) <= 4),
+near AS (SELECT norm, list_append(list(other), norm) AS names FROM (SELECT norm, short AS other FROM links UNION SELECT short, norm FROM links) GROUP BY norm),
+arrivals AS (SELECT c.*, names, row_number() OVER (ORDER BY priority, document, page, c.norm, seq) AS k FROM candidates c JOIN near USING (norm)),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS label, CAST([] AS STRUCT(norm VARCHAR, label BIGINT)[]) AS seen
+  UNION ALL
+  SELECT a.k, coalesce(list_min(list_transform(list_filter(w.seen, lambda x: list_contains(a.names, x.norm)), lambda x: x.label)), a.k),
+    list_append(w.seen, {{'norm': a.norm, 'label': coalesce(list_min(list_transform(list_filter(w.seen, lambda x: list_contains(a.names, x.norm)), lambda x: x.label)), a.k)}})
+  FROM walk w JOIN arrivals a ON a.k = w.k + 1
+),
+grouped AS (
+  SELECT a.name, a.norm, document, page, method, priority, seq, 'label ' || label AS grp FROM arrivals a JOIN walk USING (k)
+  UNION ALL SELECT c.name, c.norm, document, page, method, priority, seq, 'name ' || c.norm FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.norm = c.norm)
+),
+entries AS (SELECT grp, coalesce(arg_max(name, (document, page, norm, seq)) FILTER (method = 'fund_list_table'), arg_max(name, (document, page, norm, seq)) FILTER (method = 'relation'),
+    arg_min(name, (priority, document, page, norm, seq))) AS canonical_name, count(*) AS evidence_count FROM grouped GROUP BY grp),
+spelled AS (SELECT grp, string_agg(name, ' | ' ORDER BY norm, name) AS aliases FROM (SELECT DISTINCT grp, norm, name FROM grouped) GROUP BY grp)"""
+
+
+@query(
+    "registry_groups",
+    D.ctes(D.SQL_LAYOUT, _CLEAN_BLOCKS, _REGISTRY, recursive=True) + "SELECT canonical_name, aliases, evidence_count FROM entries JOIN spelled USING (grp)",
+)
 def registry_groups(spark, sf):
-    """Greedy clustering of every candidate name; checked against brute force in the tests."""
+    """Greedy clustering of every candidate name; the tests compare linked names with brute force."""
     candidates = durable(discovery.extract_candidates(stored_pages(spark, sf)))
     entries, _ = registry.build_registry(candidates)
     return evaluation.registry_summary(entries)
 
 
-@query("registry_evidence")
+@query(
+    "registry_evidence",
+    D.ctes(D.SQL_LAYOUT, _CLEAN_BLOCKS, _REGISTRY, recursive=True)
+    + "SELECT canonical_name, method, count(*) AS rows FROM grouped JOIN entries USING (grp) GROUP BY ALL",
+)
 def registry_evidence(spark, sf):
     candidates = durable(discovery.extract_candidates(stored_pages(spark, sf)))
     _, evidence = registry.build_registry(candidates)
