@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,12 @@ from catalog import derive as D
 from folioscope.functions import text as tx
 from folioscope.operators import (
     assembly, chunking, classification, dense, discovery, evaluation, fingerprint, fusion, lexical,
-    names, registry, segmentation, topk,
+    names, postings, registry, segmentation, topk,
 )
 from folioscope.plans.index import build_corpus, discover
 from folioscope.plans.retrieve import Retriever
 from folioscope.plans.assistant import Assistant
-from folioscope.session import durable
+from folioscope.session import durable, shared_folder
 from folioscope.sources import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -849,13 +850,34 @@ def lexical_inputs(spark, sf):
     return tokens, q.withColumn("query_language", tx.detect_language("query"))
 
 
-@query("bm25_statistics", D.ctes(D.SQL_CHUNKS, D.SQL_QUERIES, D.SQL_BM25) + "SELECT term, df, round(idf, 6) AS idf FROM idfs")
+_BM25_STATISTICS = f"""
+toks AS (SELECT chunk_ord, {D.sql_tokens("lexical_text")} AS tokens FROM chunks JOIN langs USING (chunk_ord)),
+dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM toks) GROUP BY term),
+raw_idf AS (SELECT term, df, ln((SELECT count(*) FROM toks) - df + 0.5) - ln(df + 0.5) AS r FROM dfs),
+mean_idf AS (SELECT avg(r) AS m FROM raw_idf)"""
+
+
+_BM25_TOP = "SELECT query_id, chunk_ord, CAST(lexical_rank AS INT) AS lexical_rank, round(bm25_score, 6) AS bm25_score FROM lex WHERE lexical_rank <= 10"
+
+
+@query(
+    "bm25_statistics",
+    D.ctes(D.SQL_CHUNKS, _BM25_STATISTICS) + "SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * m ELSE r END, 6) AS idf FROM raw_idf, mean_idf",
+)
 def bm25_statistics(spark, sf):
     tokens, _ = lexical_inputs(spark, sf)
     return lexical.term_statistics(tokens).withColumn("idf", F.round("idf", 6))
 
 
-_BM25_TOP = "SELECT query_id, chunk_ord, CAST(lexical_rank AS INT) AS lexical_rank, round(bm25_score, 6) AS bm25_score FROM lex WHERE lexical_rank <= 10"
+@query("bm25_stored_topk", D.ctes(D.SQL_CHUNKS, D.SQL_QUERIES, D.SQL_BM25) + _BM25_TOP)
+def bm25_stored_topk(spark, sf):
+    """The ranking of bm25_topk from an index that is written to the shared folder and read back."""
+    tokens, q = lexical_inputs(spark, sf)
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    postings.save_lexical_index(tokens, root)
+    return postings.stored_rank(postings.load_lexical_index(spark, root), q, 10).select(
+        "query_id", "chunk_ord", "lexical_rank", F.round("bm25_score", 6).alias("bm25_score")
+    )
 
 
 @query("bm25_topk", D.ctes(D.SQL_CHUNKS, D.SQL_QUERIES, D.SQL_BM25) + _BM25_TOP)

@@ -37,7 +37,11 @@ def term_statistics(token_rows: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
-    n = corpus_totals(token_rows).select("n_docs").scalar()
+    return with_idf(df, corpus_totals(token_rows).select("n_docs").scalar())
+
+
+def with_idf(df: DataFrame, n) -> DataFrame:
+    """``term, df, idf`` from stored document frequencies among ``n`` documents."""
     raw = df.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf")).scalar()
     return raw.select(

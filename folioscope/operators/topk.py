@@ -25,7 +25,7 @@ def top_k(
     ships at most ``k`` x tasks rows. Larger ``k`` gets the same shape from explicit salts.
     """
     if k > GROUP_LIMIT:
-        salted = df.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
         df = (
             rank_within(salted, [*keys, "_salt"], order, "_local")
             .filter(F.col("_local") <= k)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import assembly
 from folioscope.operators.names import detect_entities, strip_entities
+from folioscope.operators.postings import TABLES, load_lexical_index
 from folioscope.operators.topk import interleave
 from folioscope.plans.index import stored_vectors
 from folioscope.plans.retrieve import Retriever
 from folioscope.session import durable
-from folioscope.sources.artifacts import read_table, require_artifacts
+from folioscope.sources.artifacts import exists, read_table, require_artifacts
 
 
 class Assistant:
@@ -78,6 +79,8 @@ def load_retriever(spark: SparkSession, root: str, **options) -> Retriever:
     """Retriever over a stored corpus; the model name comes from the index metadata."""
     require_artifacts(spark, root)
     model = read_table(spark, root, "index_metadata").first().model_name
+    if "lexical" not in options and exists(spark, f"{root.rstrip('/')}/{TABLES[0]}"):
+        options = {"index": load_lexical_index(spark, root), **options}
     return Retriever(
         read_table(spark, root, "chunks"), read_table(spark, root, "registry"),
         stored_vectors(spark, root), model_name=model, **options,

@@ -14,6 +14,7 @@ from folioscope.functions.text import detect_language, model_prefixes, passage_t
 from folioscope.operators.dense import candidate_rank, semantic_rank
 from folioscope.operators.fusion import reciprocal_rank_fusion
 from folioscope.operators.lexical import lexical_rank, term_statistics, token_table
+from folioscope.operators.postings import LexicalIndex, stored_rank
 from folioscope.operators.names import detect_entities, strip_entities
 from folioscope.operators.topk import rank_within
 from folioscope.plans.index import DEFAULT_MODEL, encoder_column
@@ -32,20 +33,22 @@ class Retriever:
     ``vectors`` needs ``chunk_ord, embedding``. Queries come as ``query_id, query`` with an
     optional ``query_funds`` (an empty array means the entity-free pool, a missing column means
     detection) and an optional ``query_vector``; without it ``load_encoder`` embeds the search
-    text. ``lexical`` may replace the BM25 ranking by another one with the same signature.
+    text. ``lexical`` may replace the BM25 ranking by another one with the same signature. With a stored ``index``
+    no text is tokenised and languages come from it.
     """
 
     def __init__(
         self, chunks: DataFrame, registry: DataFrame, vectors: DataFrame | None = None,
         load_encoder: Callable | None = None, load_reranker: Callable[[], Score] | None = None,
         model_name: str = DEFAULT_MODEL, lexical: Callable | None = None,
-        languages: Sequence[str] = LANGUAGES,
+        languages: Sequence[str] = LANGUAGES, index: LexicalIndex | None = None,
     ):
         self.registry = registry
         self.load_encoder, self.load_reranker = load_encoder, load_reranker
         self.query_prefix, _ = model_prefixes(model_name)
         self.languages = tuple(languages)
         self._lexical = lexical
+        self.index = index
         self.chunks = chunks.withColumn("lexical_text", passage_text("section", "text"))
         if "candidate_language" not in chunks.columns:
             self.chunks = self.chunks.withColumn("candidate_language", detect_language("lexical_text"))
@@ -64,6 +67,8 @@ class Retriever:
     def owners(self) -> DataFrame:
         """Owner and language per chunk, read from the token index when that exists."""
         columns = ["chunk_ord", "fund", "candidate_language"]
+        if self.index is not None:
+            return self.index.owners
         if "tokens" in self.__dict__:
             return self.tokens.select(*columns)
         return durable(self.chunks.select(*columns))
@@ -128,7 +133,7 @@ class Retriever:
         candidate_k: int = 50, global_k: int = 30, per_language_k: int = 10,
     ) -> DataFrame:
         """Top ``k`` chunks per query with scores, ranks and the route taken."""
-        if mode in ("auto", "lexical", "hybrid"):
+        if mode in ("auto", "lexical", "hybrid") and self.index is None:
             _ = self.tokens  # built first, so that owners and languages come from it
         resolved = self.resolve(queries, mode)
         if mode == "lexical":
@@ -168,6 +173,8 @@ class Retriever:
             asked = resolved.filter(F.col("effective_mode").isin("lexical", "hybrid"))
             if self._lexical is not None:
                 lexical = self._lexical(self.tokens, asked, pool_size)
+            elif self.index is not None:
+                lexical = stored_rank(self.index, asked, pool_size)
             else:
                 lexical = lexical_rank(self.tokens, asked, pool_size, self.statistics)
         fused = reciprocal_rank_fusion(semantic, lexical, semantic_weight, lexical_weight, rrf_k)

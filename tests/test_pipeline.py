@@ -100,6 +100,12 @@ def test_stored_corpus_answers_in_auto_and_reranked_mode(spark, corpus, tmp_path
     row = assistant.answer(q, debug=True, include_retrieved=True).first()
     assert row.sources[0].document == "rights.pdf" and row.raw_model_output == "raw"
     assert row.retrieved[0].document == "rights.pdf" and "QUESTION:\nMay holders" in row.prompt
+    again = load_retriever(spark, root, load_encoder=encoder)
+    lexical = again.retrieve(q, 3, "lexical")
+    fresh = Retriever(again.chunks.drop("lexical_text", "candidate_language"), again.registry).retrieve(q, 3, "lexical")
+    rows = lambda df: [(r["rank"], r.chunk_ord, r.bm25_score, r.candidate_language) for r in df.orderBy("rank").collect()]
+    assert rows(lexical) == rows(fresh) and len(rows(lexical)) > 0
+    assert "tokens" not in again.__dict__ and "tokens" not in assistant.retriever.__dict__  # a second start tokenises nothing
     ranked = load_retriever(spark, root, load_encoder=encoder, load_reranker=reranker).retrieve(q, 2, "reranked").collect()
     assert min(ranked, key=lambda r: r["rank"]).document == "rights.pdf"
     assert all(r.fund is None and r.effective_mode == "reranked" and r.candidate_dense_rank for r in ranked)
