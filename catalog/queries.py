@@ -94,10 +94,15 @@ def page_labels(spark, sf):
 
 # --- layout ----------------------------------------------------------------------------------
 
+#: Tags inside a block's text, the one that parts words, and a block with its text up to the next other tag.
+_INLINE, _BREAK, _HTML_BLOCK = r"</?(?:a|b|i|u|em|strong|span|code|small|sub|sup)(?:\s[^>]*)?>", r"<br\s*/?>", r"<(h1|p|li)(?:\s[^>]*)?>([^<]*)"
+
+
 def html_blocks(spark, sf):
-    """Headings, paragraphs and links of web pages as raw layout blocks."""
-    kinds = F.regexp_extract_all("html", F.lit(r"<(h1|p|li)>([^<]*)"), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit(r"<(h1|p|li)>([^<]*)"), F.lit(2))
+    """Headings, paragraphs and links of web pages as raw layout blocks; inline tags don't end them."""
+    flat = F.regexp_replace(F.regexp_replace("html", _BREAK, " "), _INLINE, "")
+    kinds = F.regexp_extract_all(flat, F.lit(_HTML_BLOCK), F.lit(1))
+    texts = F.regexp_extract_all(flat, F.lit(_HTML_BLOCK), F.lit(2))
     pairs = F.arrays_zip(kinds.alias("k"), texts.alias("t"))
     raw = F.transform(
         pairs,
@@ -122,9 +127,9 @@ def html_blocks(spark, sf):
 
 @query(
     "layout_text_blocks",
-    r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 1)) AS k,
-        unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 2)) AS t,
-        generate_subscripts(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 2), 1) AS i FROM pages),
+    rf"""WITH flat AS (SELECT page_id, regexp_replace(regexp_replace(html, '{_BREAK}', ' ', 'g'), '{_INLINE}', '', 'g') AS html FROM pages),
+    m AS (SELECT page_id, unnest(regexp_extract_all(html, '{_HTML_BLOCK}', 1)) AS k, unnest(regexp_extract_all(html, '{_HTML_BLOCK}', 2)) AS t,
+        generate_subscripts(regexp_extract_all(html, '{_HTML_BLOCK}', 2), 1) AS i FROM flat),
     s AS (SELECT page_id, k, i, list_filter(list_transform(string_split(t, ' & '), lambda x: trim(x)), lambda x: x <> '') AS spans FROM m WHERE k <> 'li')
     SELECT 'page_' || page_id AS document, count(*) AS n_blocks, count(*) FILTER (k = 'h1') AS n_bold,
       max(CASE WHEN k = 'h1' THEN 16.0 ELSE 10.0 END) AS max_size,
@@ -307,7 +312,14 @@ def rag_inclusion(spark, sf):
     return evaluation.rag_inclusion(D.layout_pages(spark, sf))
 
 
-@query("audit_sample")
+@query(
+    "audit_sample",
+    D.ctes(D.SQL_LAYOUT) + rf"""SELECT document, page, left(coalesce(long[1 + CAST('0x' || left(md5('43|' || document || '|' || page), 8) AS BIGINT) % greatest(len(long), 1)], left(text, 300)), 500) AS sample_text,
+      '' AS human_check
+    FROM (SELECT *, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) >= 60) AS long,
+        row_number() OVER (PARTITION BY document ORDER BY md5('42|' || document || '|' || page), page) AS n
+      FROM (SELECT document, page, {D.sql_fold_plain('text')} AS text FROM page_texts) WHERE length(text) >= 100) WHERE n <= 2""",
+)
 def audit_sample(spark, sf):
     return evaluation.audit_sample(D.layout_pages(spark, sf))
 
@@ -539,9 +551,9 @@ def best_spelling(spark, sf):
 
 @query(
     "discovery_scores",
-    f"""WITH p AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM documents),
-    g AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM documents JOIN labels USING (doc_id)
-      UNION ALL SELECT {D.sql_words('text', 1, 3)} FROM benchmark),
+    f"""WITH p AS (SELECT text AS name FROM documents),
+    g AS (SELECT text AS name FROM documents JOIN labels USING (doc_id)
+      UNION ALL SELECT text FROM benchmark),
     pk AS (SELECT DISTINCT {D.sql_fold_label('name')} AS k FROM p), gk AS (SELECT DISTINCT {D.sql_fold_label('name')} AS k FROM g),
     c AS (SELECT (SELECT count(*) FROM p) AS n_predicted, (SELECT count(*) FROM g) AS n_gold,
       (SELECT count(*) FROM gk WHERE k NOT IN (SELECT k FROM pk)) AS missing, (SELECT count(*) FROM pk WHERE k NOT IN (SELECT k FROM gk)) AS extra),
@@ -550,23 +562,23 @@ def best_spelling(spark, sf):
 )
 def discovery_scores(spark, sf):
     docs = D.read(spark, sf, "documents")
-    head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name")
-    gold = docs.join(D.read(spark, sf, "labels"), "doc_id").select(head).unionAll(D.read(spark, sf, "benchmark").select(head))
-    return evaluation.set_scores(docs.select(head), gold).select(
+    whole = F.col("text").alias("name")
+    gold = docs.join(D.read(spark, sf, "labels"), "doc_id").select(whole).unionAll(D.read(spark, sf, "benchmark").select(whole))
+    return evaluation.set_scores(docs.select(whole), gold).select(
         "n_predicted", "n_gold", "missing", "extra", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
     )
 
 
 @query(
     "discovery_differences",
-    f"""WITH pn AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM documents), gn AS (SELECT {D.sql_words('text', 1, 3)} AS name FROM benchmark),
+    f"""WITH pn AS (SELECT text AS name FROM documents), gn AS (SELECT text AS name FROM benchmark),
     p AS (SELECT {D.sql_fold_label('name')} AS k, min(name) AS name FROM pn GROUP BY 1), g AS (SELECT {D.sql_fold_label('name')} AS k, min(name) AS name FROM gn GROUP BY 1)
     SELECT 'missing' AS side, name FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = g.k)
     UNION ALL SELECT 'extra', name FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = p.k)""",
 )
 def discovery_differences(spark, sf):
-    head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name")
-    return evaluation.set_differences(D.read(spark, sf, "documents").select(head), D.read(spark, sf, "benchmark").select(head))
+    whole = F.col("text").alias("name")
+    return evaluation.set_differences(D.read(spark, sf, "documents").select(whole), D.read(spark, sf, "benchmark").select(whole))
 
 
 # --- query-side names ------------------------------------------------------------------------

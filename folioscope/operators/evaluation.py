@@ -375,12 +375,18 @@ def rag_inclusion(pages: DataFrame) -> DataFrame:
 
 
 def audit_sample(pages: DataFrame, seed: int = 42, per_document: int = 2, min_chars: int = 100, min_sentence: int = 60) -> DataFrame:
-    """Reproducible spot-check: up to ``per_document`` pages with text and one sentence each."""
+    """Reproducible spot-check: up to ``per_document`` pages with text and one sentence each.
+
+    The draw is by MD5 of seed, document and page, so any engine repeats it and samples of parts of a corpus merge:
+    the pages with the least digests stay, and each map task hands on no more than ``per_document`` of a document.
+    """
+    def drawn(number: int) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(number)), "document", F.col("page").cast("string")))
+
     texts = pages.select("document", "page", loose("text").alias("_text")).filter(F.length("_text") >= min_chars)
-    draw = F.xxhash64(F.lit(seed), "document", "page")
-    chosen = top_k(texts.withColumn("_draw", draw), ["document"], [F.col("_draw"), F.col("page")], per_document, "_n")
+    chosen = top_k(texts.withColumn("_draw", drawn(seed)), ["document"], [F.col("_draw"), F.col("page")], per_document, "_n")
     long = F.filter(sentences("_text"), lambda s: F.length(s) >= min_sentence)
-    at = F.pmod(F.xxhash64(F.lit(seed + 1), "document", "page"), F.size(F.col("_long"))).cast("int")
+    at = (F.conv(F.left(drawn(seed + 1), F.lit(8)), 16, 10).cast("long") % F.greatest(F.size("_long"), F.lit(1))).cast("int")
     return chosen.withColumn("_long", long).select(
         "document", "page",
         F.left(
