@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = 1024
-SEQUENTIAL_LIMIT = 200_000  # rows a single ordered digest may cover
+LEAVES = 256
 
 
 def row_bytes(*values: str) -> Column:
@@ -31,21 +31,47 @@ def chunk_fingerprint(chunks: DataFrame) -> DataFrame:
     return level.groupBy().agg(F.sha2(joined(), 256).alias("chunk_fingerprint"))
 
 
-def sequential_fingerprint(chunks: DataFrame) -> str:
-    """SHA-256 over the concatenated rows in order, for comparing with small stored indexes.
+def digest_leaves(chunks: DataFrame) -> DataFrame:
+    """``place, chunk_id, digest``: where a chunk stands in the digest tree, by its id, and the digest of its section and text."""
+    return chunks.select(F.xxhash64("chunk_id").alias("place"), "chunk_id", F.sha2(row_bytes("chunk_id", "section", "text"), 256).alias("digest"))
 
-    A single running digest cannot be split, so larger tables are refused.
+
+def tree_depth(rows: int) -> int:
+    """Levels of a tree of fanout 16 whose lowest nodes have about LEAVES rows or fewer."""
+    depth = 1
+    while rows > LEAVES << 4 * depth:
+        depth += 1
+    return depth
+
+
+def digest_nodes(leaves: DataFrame, depth: int) -> DataFrame:
+    """``depth, prefix, digest`` of all inner nodes; a node covers the places that share its leading ``4 * depth`` bits."""
+    prefix = lambda d: F.shiftrightunsigned("place", 64 - 4 * d)
+    order = F.array_sort(F.collect_list(F.struct("place", "chunk_id", "digest")))
+    level = leaves.groupBy(prefix(depth).alias("prefix")).agg(F.sha2(F.array_join(F.transform(order, lambda s: s["digest"]), ""), 256).alias("digest"))
+    out = level.select(F.lit(depth).alias("depth"), "prefix", "digest")
+    for d in range(depth - 1, 0, -1):
+        below = F.array_sort(F.collect_list(F.struct("prefix", "digest")))
+        level = level.groupBy(F.shiftrightunsigned("prefix", 4).alias("prefix")).agg(F.sha2(F.array_join(F.transform(below, lambda s: s["digest"]), ""), 256).alias("digest"))
+        out = out.unionByName(level.select(F.lit(d).alias("depth"), "prefix", "digest"))
+    return out
+
+
+def changed_chunks(saved_nodes: DataFrame, saved_leaves: DataFrame, nodes: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
+    """``chunk_id`` of chunks that are new or differ from the saved ones.
+
+    The trees, both at least ``depth`` deep, are compared level by level: only the children of nodes that differ are
+    looked at, and only leaves under differing lowest nodes are joined.
     """
-    if chunks.limit(SEQUENTIAL_LIMIT + 1).count() > SEQUENTIAL_LIMIT:
-        raise ValueError("table too large for a sequential digest; use chunk_fingerprint")
-    text = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("chunk_ord", row_bytes("chunk_id", "section", "text").alias("t")))),
-            lambda s: s["t"],
-        ),
-        "",
-    )
-    return chunks.agg(F.sha2(text, 256).alias("h")).first().h
+    differing: DataFrame | None = None
+    for d in range(1, depth + 1):
+        old, new = (t.where(F.col("depth") == d).select("prefix", F.col("digest").alias(name)) for t, name in ((saved_nodes, "old"), (nodes, "new")))
+        if differing is not None:
+            old, new = (t.withColumn("parent", F.shiftrightunsigned("prefix", 4)).join(differing, "parent", "left_semi").drop("parent") for t in (old, new))
+        differing = old.join(new, "prefix", "full_outer").where("NOT (old <=> new)").select(F.col("prefix").alias("parent"))
+    under = lambda t: t.withColumn("parent", F.shiftrightunsigned("place", 64 - 4 * depth)).join(differing, "parent", "left_semi").drop("parent")
+    known = under(saved_leaves).select("place", "chunk_id", F.col("digest").alias("old"))
+    return under(leaves).join(known, ["place", "chunk_id"], "left").where("NOT (digest <=> old)").select("chunk_id").distinct()
 
 
 def index_metadata(chunks: DataFrame, model_name: str, passage_prefix: str, index_version: int) -> DataFrame:

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import model_prefixes
 from folioscope.operators import evaluation
-from folioscope.operators.fingerprint import sequential_fingerprint
 from folioscope.plans.index import load_or_build_vectors
 from folioscope.plans.ingest import run_ingestion
 from folioscope.sources import artifacts, files, layout
@@ -95,11 +94,46 @@ def test_vectors_are_reused_until_the_chunks_change(spark, tmp_path):
     assert model_prefixes("intfloat/Multilingual-E5-base") == ("query: ", "passage: ")
 
 
-def test_sequential_fingerprint_is_the_plain_digest(spark):
-    import hashlib
-
-    chunks = spark.createDataFrame([(1, "b", None, "y"), (0, "a", "s", "x")], "chunk_ord BIGINT, chunk_id STRING, section STRING, text STRING")
-    assert sequential_fingerprint(chunks) == hashlib.sha256(b"a\0s\0x\0b\0None\0y\0").hexdigest()
+def test_only_changed_chunks_are_embedded_again(spark, tmp_path):
+    """After one text changed, one row went and one came first in the order, only the two new texts reach the encoder."""
+    schema = "chunk_ord BIGINT, chunk_id STRING, section STRING, text STRING, fund STRING"
+    rows = [(k, f"doc::{k}", "s", f"text {k}", None) for k in range(600)]
+    chunks = spark.createDataFrame(rows, schema)
+    loader = lambda: lambda texts: [[1.0, float(len(t)), 0.5] for t in texts]
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def counting():
+        import uuid
+
+        def encode(texts):
+            (asked / uuid.uuid4().hex).write_text("\n".join(texts))
+            return [[1.0, float(len(t)), 0.5] for t in texts]
+
+        return encode
+
+    root = str(tmp_path / "index")
+    load_or_build_vectors(spark, chunks, root, loader)
+    later = [(0, "doc::new", "s", "fresh", None)] + [(k, f"doc::{k}", "s", "changed text" if k == 77 else f"text {k}", None) for k in range(1, 600)]
+    vectors, built = load_or_build_vectors(spark, spark.createDataFrame(later, schema), root, counting)
+    sent = [line for f in asked.iterdir() for line in f.read_text().split("\n") if line]
+    assert built and len(sent) == 4 and sum("changed text" in x for x in sent) == sum("fresh" in x for x in sent) == 1  # a section and a text each
+    got = {r.chunk_id: r for r in vectors.collect()}
+    assert len(got) == 600 and got["doc::new"].chunk_ord == 0 and "doc::0" not in got
+    scratch, _ = load_or_build_vectors(spark, spark.createDataFrame(later, schema), str(tmp_path / "other"), loader)
+    assert {r.chunk_id: (r.chunk_ord, r.embedding) for r in scratch.collect()} == {k: (r.chunk_ord, r.embedding) for k, r in got.items()}
+
+
+def test_trees_are_compared_by_differing_nodes(spark):
+    from folioscope.operators import fingerprint as P
+
+    old = spark.createDataFrame([(f"c{k}", "s", f"t{k}") for k in range(400)], "chunk_id STRING, section STRING, text STRING")
+    new = old.where("chunk_id <> 'c5'").withColumn("text", F.when(F.col("chunk_id").isin("c9", "c200"), "other").otherwise(F.col("text")))
+    new = new.unionByName(spark.createDataFrame([("d1", None, None)], new.schema))
+    trees = [(P.digest_nodes(x, 2), x) for x in (P.digest_leaves(old), P.digest_leaves(new))]
+    assert sorted(r.chunk_id for r in P.changed_chunks(*trees[0], *trees[1], 2).collect()) == ["c200", "c9", "d1"]
+    assert P.changed_chunks(*trees[0], *trees[0], 2).count() == 0
+    assert [P.tree_depth(n) for n in (0, 4096, 4097, 10**9)] == [1, 1, 2, 6]
 
 
 def test_row_recall_respects_cell_borders(spark):
