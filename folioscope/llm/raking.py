@@ -7,6 +7,8 @@ weight, decided by a hash of the id.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,8 +90,7 @@ def _raked_here(cells: DataFrame, dimensions: list[str], tolerance: float, round
 def _raked_there(cells: DataFrame, dimensions: list[str], tolerance: float, rounds: int) -> DataFrame:
     state = durable(cells)
     for _ in range(rounds):
-        off = [state.groupBy(d, f"_t_{d}").agg(F.sum("weight").alias("w")).agg(F.max(F.abs(F.col("w") - F.col(f"_t_{d}")))).first()[0] for d in dimensions]
-        if max((x for x in off if x is not None), default=0) <= tolerance:
+        if max((marginal_gap(state, d) for d in dimensions), default=0) <= tolerance:
             break
         after = state
         for d in dimensions:
@@ -102,12 +103,19 @@ def _raked_there(cells: DataFrame, dimensions: list[str], tolerance: float, roun
     return state
 
 
+def marginal_gap(raked: DataFrame, dimension: str) -> float:
+    """How far the weights' sum of any value of ``dimension`` is from its target share ``_t_<dimension>``, at most."""
+    sums = raked.groupBy(dimension, f"_t_{dimension}").agg(F.sum("weight").alias("_w"))
+    return sums.agg(F.max(F.abs(F.col("_w") - F.col(f"_t_{dimension}")))).first()[0] or 0.0
+
+
 def rake(cells: DataFrame, targets: Targets, tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS, cells_told: int = CELLS_TOLD) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``weight``, adding up to 1: token shares scaled until every marginal is its target.
 
     A cell without tokens, or with a value that has no target, gets weight 0; a target of no cell is
     left out and the others share its part. If the targets contradict each other, the weights after
-    ``rounds`` rounds are returned; they match the last dimension. Few cells are raked on the driver,
+    ``rounds`` rounds are returned; they match the last dimension, and a warning tells by how much the
+    others miss theirs. Few cells are raked on the driver,
     many in Spark by sums per value; both give the same weights.
     """
     dimensions = list(targets)
@@ -119,6 +127,10 @@ def rake(cells: DataFrame, targets: Targets, tolerance: float = TOLERANCE, round
     total = counted.agg(F.sum("weight")).first()[0]
     live = counted.where("weight is not null").withColumn("weight", F.col("weight") / F.lit(total or 1.0))
     raked = (_raked_here if counted.count() <= cells_told else _raked_there)(live, dimensions, tolerance, rounds)
+    raked = durable(raked)
+    gap = max((marginal_gap(raked, d) for d in dimensions), default=0.0)
+    if gap > tolerance:
+        warnings.warn(f"raking ended after {rounds} rounds with a marginal {gap:.3g} from its target: the targets contradict each other or converge slowly", stacklevel=2)
     rest = counted.where("weight is null").withColumn("weight", F.lit(0.0))
     return raked.select(*cells.columns, "weight").union(rest.select(*cells.columns, "weight"))
 
@@ -143,12 +155,12 @@ def rates(cells: DataFrame, keep: float) -> DataFrame:
     return cells.withColumn("probability", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(scale) * rate)).otherwise(0.0))
 
 
-def _described(docs: DataFrame, id_column: str, text_column: str, dimensions: list[str], seed: int) -> DataFrame:
-    """``docs`` with ``topic`` (unless it has one), ``_u`` in [0, 1) by the id and text, and the dimensions as strings."""
+def _described(docs: DataFrame, id_column: str, text_column: str, dimensions: dict[str, str], seed: int) -> DataFrame:
+    """``docs`` with ``_u`` in [0, 1) by the id and text, and the dimensions, by their columns, as strings ``_d_<dimension>``."""
     key = F.xxhash64(F.lit(seed), F.col(id_column).cast("string"), F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
     out = docs.withColumn("_u", F.shiftrightunsigned(key, 11).cast("double") / F.lit(float(1 << 53)))
-    for d in dimensions:
-        out = out.withColumn(f"_d_{d}", (topic_of(F.col(text_column)) if d == "topic" else F.col(d)).cast("string"))
+    for d, column in dimensions.items():
+        out = out.withColumn(f"_d_{d}", (topic_of(F.col(text_column)) if d == "topic" else F.col(column)).cast("string"))
     return out
 
 
@@ -177,7 +189,7 @@ def mixed(
     without tokens are kept only if others of their cell can be, by the same probability.
     """
     dimensions = list(targets)
-    described = _described(docs, id_column, text_column, dimensions, seed)
+    described = _described(docs, id_column, text_column, {d: d for d in dimensions}, seed)
     narrow = durable(described.select(F.col(id_column).alias("doc_id"), "_u", *(f"_d_{d}" for d in dimensions), n_words(F.col(text_column)).alias("n_tokens")))
     rated = durable(rates(rake(_cells(narrow, dimensions), targets), keep))
     out = _with_rates(narrow, rated, dimensions)
@@ -189,9 +201,10 @@ def _cells(narrow: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def sample(docs: DataFrame, targets: Targets, keep: float, id_column: str = "doc_id", text_column: str = "text", seed: int = 3) -> DataFrame:
-    """The rows of ``docs`` that ``mixed`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``mixed`` keeps, with all their columns, whatever their names."""
     dimensions = list(targets)
-    described = _described(docs, id_column, text_column, dimensions, seed)
-    narrow = described.select(*(f"_d_{d}" for d in dimensions), n_words(F.col(text_column)).alias("n_tokens"))
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    described = _described(docs.toDF(*at.values()), at[id_column], at[text_column], {d: at.get(d, d) for d in dimensions}, seed)
+    narrow = described.select(*(f"_d_{d}" for d in dimensions), n_words(F.col(at[text_column])).alias("n_tokens"))
     rated = durable(rates(rake(_cells(narrow, dimensions), targets), keep))
-    return _with_rates(described, rated, dimensions).where("_u < probability").select(*(described[c] for c in docs.columns))
+    return _with_rates(described, rated, dimensions).where("_u < probability").select(*(F.col(k).alias(c) for c, k in at.items()))
