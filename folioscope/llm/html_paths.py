@@ -4,9 +4,10 @@ A page becomes a sequence of blocks, each with the path of block elements above
 text outside links, the punctuation and the blocks are added up; the ratios are smoothed over the
 sequence of blocks and fused to one weight per path. The weights choose the content, ``article`` and
 ``main`` or else the container with the mass of the weight, of which every block stays, however short; outside
-it paths under a threshold are left out. Elements that are never main text (menus, footers, forms, hidden
-ones) weigh nothing. Nor do those whose class, id or role names an advert, a sidebar, comments and the
-like, unless they hold the only ``article`` or ``main`` or most of the page's weight.
+it paths under a threshold are left out. Elements that are never main text (navigation, footers) weigh
+nothing. Nor do those whose class, id or role names an advert, a sidebar, comments and the like, unless
+they hold the only ``article`` or ``main`` or most of the page's weight; nor forms, menus and hidden elements,
+unless such a one is wrapped around the page. Time and memory grow with the page, however deep it nests.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +28,13 @@ THRESHOLD = 0.35
 MASS = 0.6
 _SMOOTH = (0.25, 0.5, 0.25)
 
+#: A form, menu or hidden element is only taken for a wrapper if a block under it has at least so many characters outside links.
+PASSAGE = 80
+
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: A tag with a quote that nothing closes ends at the next angle.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?、。，！？]")
@@ -44,7 +52,10 @@ _SIBLINGS = {
     "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, set()), "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
-_ASIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
+_ASIDE = frozenset("nav footer aside dialog search".split())
+#: Not main text as such, but sometimes wrapped around a whole page, as hidden elements are.
+_WRAPPERS = frozenset("form menu fieldset".split())
+_WRAPPER = frozenset(["(wrapper)"])
 _MAIN = frozenset("article main".split())
 _CONTAINER = frozenset("html body div section article main center td figure blockquote".split())
 _ASIDE_NAMES = frozenset(
@@ -62,9 +73,14 @@ _STATE = frozenset("no not non has have with without is free open opened close c
 _NOT_LAST = frozenset("hidden widget overlay skip tags legal header copyright alert modal rail".split())
 
 
-def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
+def _is_aside(tag: str, in_main: bool) -> bool:
     """Whether an element and all in it is never main text."""
-    if tag in _ASIDE or tag in _UNSEEN or (tag == "header" and not in_main):
+    return tag in _ASIDE or tag in _UNSEEN or (tag == "header" and not in_main)
+
+
+def _is_wrapper(tag: str, attributes: str) -> bool:
+    """Whether an element is a form, a menu or hidden, which is main text only if it is around the page."""
+    if tag in _WRAPPERS:
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -76,7 +92,9 @@ def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 def _aside_names(tag: str, attributes: str, in_main: bool) -> frozenset[str]:
-    """The names of an element's class, id and role by which it isn't main text, if nothing else tells that it is."""
+    """The names of an element's class, id and role by which it isn't main text, if nothing else tells that it is; _WRAPPER is one."""
+    if _is_wrapper(tag, attributes):
+        return _WRAPPER
     if not attributes or tag in ("html", "body"):
         return frozenset()
     names = set()
@@ -94,36 +112,57 @@ def _aside_names(tag: str, attributes: str, in_main: bool) -> frozenset[str]:
 
 
 class _Open:
-    """An open block element (or an element whose text isn't shown)."""
+    """An open block element (or an element whose text isn't shown); ``path`` numbers its tag path."""
 
-    __slots__ = ("tag", "path", "aside", "main", "above", "names")
+    __slots__ = ("tag", "path", "depth", "aside", "main", "above", "names")
 
-    def __init__(self, tag: str, path: str, aside: bool, main: bool, above: _Open | None = None, names: frozenset[str] = frozenset()):
+    def __init__(self, tag: str, path: int, aside: bool, main: bool, above: _Open | None = None, names: frozenset[str] = frozenset()):
         self.tag, self.path, self.aside, self.main, self.above, self.names = tag, path, aside, main, above, names
+        self.depth = above.depth + 1 if above else 0
+
+
+def _elements(found: list[tuple[_Open, bool, str, int]]) -> list[_Open]:
+    """The elements of all blocks and those above them, each after the one above it."""
+    out: list[_Open] = []
+    seen: set[_Open] = set()
+    for element, *_ in found:
+        line = []
+        while element is not None and element not in seen:
+            seen.add(element)
+            line.append(element)
+            element = element.above
+        out.extend(reversed(line))
+    return out
 
 
-def _sums(parts: list[tuple[_Open, float]]) -> dict[_Open, float]:
+def _sums(elements: list[_Open], parts: list[tuple[_Open, float]]) -> dict[_Open, float]:
     """Per element the sum of the parts at or under it."""
-    out: dict[_Open, float] = {}
+    out = dict.fromkeys(elements, 0.0)
     for element, part in parts:
-        while element is not None:
-            out[element] = out.get(element, 0.0) + part
-            element = element.above
+        out[element] += part
+    for element in reversed(elements):
+        if element.above is not None:
+            out[element.above] += out[element]
     return out
 
 
-def _container(element: _Open) -> _Open:
-    while element.above is not None and element.tag not in _CONTAINER:
-        element = element.above
-    return element
+def _containers(elements: list[_Open]) -> dict[_Open, _Open]:
+    """The container that each element is or is in."""
+    out: dict[_Open, _Open] = {}
+    for element in elements:
+        out[element] = element if element.above is None or element.tag in _CONTAINER else out[element.above]
+    return out
 
 
 def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
     """(element, under article or main, text, characters inside links) of every block that can be main text, in page order."""
     out: list[tuple[_Open, bool, str, int]] = []
-    stack = [_Open("", "", False, False)]
+    stack = [_Open("", 0, False, False)]
+    is_open: defaultdict[str, int] = defaultdict(int)
+    paths: dict[tuple[int, str], int] = {}
     parts: list[str] = []
-    links = link_size = place = 0
+    links = link_size = place = at = loose = 0
+    last = page.rfind(">")
 
     def flush() -> None:
         nonlocal link_size
@@ -134,20 +173,38 @@ def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
             parts.clear()
         link_size = 0
 
+    def push(tag: str, aside: bool, main: bool, names: frozenset[str]) -> None:
+        path = paths.setdefault((stack[-1].path, tag), len(paths) + 1)
+        stack.append(_Open(tag, path, aside, main, stack[-1], names))
+        is_open[tag] += 1
+
     def close(until: int) -> None:
         flush()
+        for element in stack[until:]:
+            is_open[element.tag] -= 1
         del stack[until:]
 
     size = len(page)
     while place < size:
-        found = _TAG.search(page, place)
+        start = _START.search(page, at)
+        found = None
+        if start:
+            at = start.start()
+            if at < last or page[at + 1] in "!?":  # a tag after the last angle never ends, so it is text
+                found = (_LOOSE if at < loose else _TAG).match(page, at)
+                if not found:
+                    loose = max(page.rfind('"'), page.rfind("'"))
+                    found = _LOOSE.match(page, at)
+            if not found:
+                at = start.end()
+                continue
         text = page[place : found.start()] if found else page[place:]
         if text:
             parts.append(text)
             link_size += len(text) if links else 0
         if not found:
             break
-        place = found.end()
+        place = at = found.end()
         if not found[2]:
             continue
         tag, ending = found[2].lower(), bool(found[1])
@@ -158,24 +215,21 @@ def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
         elif tag in _VOID and tag != "hr":
             continue
         elif tag not in _BLOCK and tag not in _UNSEEN:
-            aside = not ending and not found[3].endswith("/") and _is_aside(tag, found[3], stack[-1].main)
-            names = frozenset() if ending or aside or found[3].endswith("/") else _aside_names(tag, found[3], stack[-1].main)
-            if aside or names:
+            names = frozenset() if ending or found[3].endswith("/") else _aside_names(tag, found[3], stack[-1].main)
+            if names:
                 flush()
-                stack.append(_Open(tag, f"{stack[-1].path} {tag}", aside or stack[-1].aside, stack[-1].main, stack[-1], names))
+                push(tag, stack[-1].aside, stack[-1].main, names)
             elif ending and stack[-1].tag == tag:
                 close(len(stack) - 1)
         elif ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    links = 0
-                    break
+            if is_open[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+                links = 0
             else:
                 flush()
         else:
             flush()
-            if tag in _CLOSES_P:
+            if tag in _CLOSES_P and is_open["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
                         close(k)
@@ -184,7 +238,7 @@ def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
                         break
             if tag in _SIBLINGS:
                 own, limit = _SIBLINGS[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(is_open[t] for t in own) else ():
                     if stack[k].tag in own:
                         close(k)
                         break
@@ -194,12 +248,12 @@ def blocks(page: str) -> list[tuple[_Open, bool, str, int]]:
             if tag == "hr":
                 continue
             top = stack[-1]
-            aside = top.aside or _is_aside(tag, found[3], top.main)
+            aside = top.aside or _is_aside(tag, top.main)
             names = frozenset() if aside else _aside_names(tag, found[3], top.main)
-            stack.append(_Open(tag, f"{top.path} {tag}", aside, top.main or (tag in _MAIN and not aside), top, names))
+            push(tag, aside, top.main or (tag in _MAIN and not aside), names)
             if tag in _RAW:
                 end = re.compile(f"</{tag}", re.I).search(page, place)
-                place = end.start() if end else size
+                place = at = end.start() if end else size
                 if end is None:
                     break
     close(1)
@@ -223,32 +277,38 @@ def _without_named(found: list[tuple[_Open, bool, str, int]]) -> list[tuple[_Ope
     """The blocks not under an element that its names make no main text.
 
     Names don't count if the page's only ``article`` or ``main`` with text is under the element or if most of the
-    weight is; comments need to be all there is. Elements under one whose names don't count are judged in turn.
+    weight is; comments need to be all there is. Forms, menus and hidden elements don't count if they are around
+    the page: no ``article`` or ``main`` is outside them, and most of the weight is under them, with an ``article``,
+    a ``main`` or a whole passage. Elements under one whose names don't count are judged in turn.
     """
-    fused, ignored = _weights(found), set()
-
-    def outermost(element: _Open | None) -> _Open | None:
-        top = None
-        while element is not None:
-            if element.names and element not in ignored:
-                top = element
-            element = element.above
-        return top
+    fused, ignored, elements = _weights(found), set(), _elements(found)
+    if not any(element.names for element in elements):
+        return found
 
     while True:
-        named = [outermost(element) for element, *_ in found]
+        outermost: dict[_Open | None, _Open | None] = {None: None}
+        for element in elements:
+            outermost[element] = outermost[element.above] or (element if element.names and element not in ignored else None)
+        named = [outermost[element] for element, *_ in found]
         clear = [block for block, top in zip(found, named, strict=True) if top is None]
         main = any(block[1] for block in clear)
         weight: dict[_Open, float] = {}
-        with_main = set()
-        for (_, in_main, _, _), top, w in zip(found, named, fused, strict=True):
+        with_main, with_passage = set(), set()
+        for (_, in_main, text, linked), top, w in zip(found, named, fused, strict=True):
             if top is not None:
                 weight[top] = weight.get(top, 0.0) + w
                 if in_main:
                     with_main.add(top)
-        content = {
-            top for top, w in weight.items() if (not clear or not top.names & _TALK) and ((top in with_main and not main) or w > 0.5 * sum(fused))
-        }
+                if len(text) - linked >= PASSAGE:
+                    with_passage.add(top)
+        half = 0.5 * sum(fused)
+
+        def is_content(top: _Open, w: float) -> bool:
+            if top.names is _WRAPPER:
+                return not main and w > half and (top in with_main or top in with_passage)
+            return (not clear or not top.names & _TALK) and ((top in with_main and not main) or w > half)
+
+        content = {top for top, w in weight.items() if is_content(top, w)}
         if not content:
             return clear
         ignored |= content
@@ -262,9 +322,10 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     if not found:
         return ""
     fused = _weights(found)
-    if sum(weight for (_, main, _, _), weight in zip(found, fused, strict=True) if main) > 0.5 * sum(fused):
+    total_weight = sum(fused)
+    if sum(weight for (_, main, _, _), weight in zip(found, fused, strict=True) if main) > 0.5 * total_weight:
         return "\n\n".join(text for _, main, text, _ in found if main)
-    by_path: dict[str, list[float]] = {}
+    by_path: dict[int, list[float]] = {}
     for (element, _, text, _), weight in zip(found, fused, strict=True):
         total = by_path.setdefault(element.path, [0.0, 0, 0])
         total[0] += weight
@@ -272,19 +333,20 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
         total[2] += len(text)
     weights = {path: total / n for path, (total, n, _) in by_path.items()}
     mean = sum(weights[path] * size for path, (_, _, size) in by_path.items()) / sum(size for _, _, size in by_path.values())
-    under = _sums([(element, weight) for (element, *_), weight in zip(found, fused, strict=True)])
-    # Elements on one line down from the root hold more than half, so the innermost is the one with the longest path.
-    heavy = [e for e, weight in under.items() if weight > MASS * sum(fused) and (e.tag in _CONTAINER or e.above is None)]
-    root = max(heavy, key=lambda e: len(e.path)) if heavy else None
+    elements = _elements(found)
+    containers = _containers(elements)
+    under = _sums(elements, [(element, weight) for (element, *_), weight in zip(found, fused, strict=True)])
+    # Elements on one line down from the root hold more than half, so the innermost is the deepest.
+    heavy = [e for e, weight in under.items() if weight > MASS * total_weight and (e.tag in _CONTAINER or e.above is None)]
+    root = max(heavy, key=lambda e: e.depth) if heavy else None
 
-    def in_root(element: _Open | None) -> bool:
-        while element is not None and element is not root:
-            element = element.above
-        return root is not None and element is root
+    in_root: dict[_Open | None, bool] = {None: False}
+    for element in elements:
+        in_root[element] = element is root or in_root[element.above]
 
     def kept(element: _Open, text: str, linked: int) -> bool:
         # Links alone in a container are a menu; with other text beside them they belong to it.
-        if in_root(element) and (linked < 0.6 * len(text) or under[_container(element)] > 0):
+        if in_root[element] and (linked < 0.6 * len(text) or under[containers[element]] > 0):
             return True
         return weights[element.path] >= threshold * mean and weights[element.path] > 0
 
