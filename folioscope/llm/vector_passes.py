@@ -28,6 +28,8 @@ BITS = 48
 WINDOW = 32
 #: Rows of a tile's side when a component is compared with itself.
 TILE = 256
+#: Groups that small components share at least; beyond, one for each TILE linked vectors.
+SHARED = 997
 #: Rows of a tile's side when vectors that passes can't settle are compared with each other.
 REST_TILE = 1024
 #: Passes sorted at a time after the first ones.
@@ -241,15 +243,18 @@ def _links(distinct: DataFrame, cosine: float, window: int, first: int, recall:
     return found
 
 
-def _tile_counts(members: DataFrame, cosine: float) -> DataFrame:
-    """(node, links): rows linked with each node, from all tiles of its component. Needs component, node, v, size, w."""
+def _tile_counts(members: DataFrame, cosine: float, shared: int) -> DataFrame:
+    """(node, links): rows linked with each node, from all tiles of its component. Needs component, node, v, size, w.
+
+    Small components are dealt to ``shared`` groups.
+    """
     sizes = members.groupBy("component", "size").agg(F.count("*").alias("of"))
     blocks = F.ceil(F.col("of") / TILE)
     dealt = members.join(sizes, ["component", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
     each = dealt.withColumn("tile", F.explode(tiles))
     # Small components share groups, as a group for each would be too many.
-    group = F.when(F.col("of") <= TILE, F.pmod(F.xxhash64("component"), F.lit(997))).otherwise(F.xxhash64("component", "tile"))
+    group = F.when(F.col("of") <= TILE, F.pmod(F.xxhash64("component"), F.lit(shared))).otherwise(F.xxhash64("component", "tile"))
     each = each.select(group.alias("group"), "component", "size", "block", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "node", "v", "w")
 
     def run(table: pa.Table) -> pa.Table:
@@ -300,7 +305,7 @@ def near_duplicates(
     labels = durable(components(links))
     discard(*found)
     members = distinct.join(labels, "node")
-    counts = _tile_counts(members, cosine)
+    counts = _tile_counts(members, cosine, max(SHARED, math.ceil(labels.count() / TILE)))
     per_vector = (
         distinct.select("digest", "node", "w")
         .join(labels, "node", "left")
