@@ -25,6 +25,8 @@ ROLES = ("system", "user", "assistant")
 STATES = tuple((role, opens) for role in ROLES for opens in (True, False))
 #: Lines of a block.
 BLOCK = 512
+#: Lines that a group of blocks has about, and groups at least.
+GROUP_LINES, LEAST_GROUPS = 8 * BLOCK, 64
 
 #: Words before a colon (or in brackets, or after ###) that mark a speaker, and whose they are.
 MARKERS = {
@@ -263,11 +265,12 @@ def decode(rows: DataFrame, model: LineModel) -> DataFrame:
             parts.append(own.drop_columns(["block", "group"]).append_column("state", pa.array(path, pa.int32())))
         return pa.concat_tables(parts) if parts else left.drop_columns(["block", "group"]).append_column("state", pa.array([], pa.int32()))
 
-    # Many short transcripts share a group; a long one is dealt out by block.
-    spread = F.pmod(F.xxhash64("conv_id", "block"), F.lit(4093)).cast("int")
+    # Many short transcripts share a group; a long one is dealt out by block. The number of groups follows the lines.
+    groups = F.lit(max(LEAST_GROUPS, rows.count() // GROUP_LINES))
+    spread = F.pmod(F.xxhash64("conv_id", "block"), groups)
     blocked = blocked.withColumn("group", spread)
     each = blocked.groupBy("group").applyInArrow(matrices, f"conv_id {kind}, block int, best array<double>")
-    by_conv = each.withColumn("group", F.pmod(F.xxhash64("conv_id"), F.lit(4093)).cast("int"))
+    by_conv = each.withColumn("group", F.pmod(F.xxhash64("conv_id"), groups))
     fixed = by_conv.groupBy("group").applyInArrow(ends, f"conv_id {kind}, block int, last int, entry array<double>")
     fixed = durable(fixed.withColumn("group", spread))
     return blocked.groupBy("group").cogroup(fixed.groupBy("group")).applyInArrow(states, f"conv_id {kind}, {_LINE_FIELDS}, state int")
