@@ -96,3 +96,38 @@ def test_dense_ranking_matches_numpy(spark):
         mine = sorted((r for r in got if r.query_id == name), key=lambda r: r.candidate_rank)
         assert [r.chunk_ord for r in mine] == want[:8]
         assert [r.candidate_dense_rank for r in mine] == [order.index(i) + 1 for i in want[:8]]
+
+
+def test_many_names_take_one_pass(spark):
+    """Names of some 2.4 million characters, most with one long beginning: one sieve of bounded size, true hits only."""
+    needles = spark.range(60_000).selectExpr("concat(if(id % 5 = 0, '', 'the société générale of funds number '), id, ' é', id * 7919, ' fund') n")
+    assert names.sliced(needles, "n")[1] == 1
+    sieve = names.sieve_of(needles.withColumnRenamed("n", "needle"))
+    assert sieve.table.nbytes == 1 << 18
+    wanted = [r.n for r in needles.where("id % 997 = 0").collect()]
+    texts = [f"žž {w} and {w[3:]}" for w in wanted] + ["the société générale of funds number "] * 200
+    left = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    every = [r.n for r in needles.collect()]
+    got = {tuple(r) for r in names.occurrences(left, ["i"], "t", needles, "n").collect()}
+    few = {w for w, _ in zip(every, range(12_000), strict=False)}
+    assert {g for g in got if g[1] in few} == {(i, w) for i, t in enumerate(texts[: len(wanted)]) for w in few if w in t}
+    assert {(i, w) for i, w in enumerate(wanted)} <= got and all(w in texts[i] for i, w in got)
+
+
+def test_sieve_over_blocks_and_bytes(monkeypatch):
+    """Names of 1 to 300 bytes around the ends of blocks and rows, among letters of one to four bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    monkeypatch.setattr(names, "BLOCK", 37)
+    texts = ["".join(rng.choice("ab éж😀") for _ in range(rng.randint(0, 200))) for _ in range(40)] + [None, ""]
+    words = {t[a : a + n] for t in texts if t for a, n in ((rng.randrange(len(t)), rng.choice([1, 2, 3, 7, 8, 9, 31, 60, 150])) for _ in range(5))}
+    table, lengths = np.full(1 << 10, np.uint64(2**64 - 1)), sorted({len(w.encode()) for w in words})
+    data, at = names._utf8(pa.array(texts))
+    got = set()
+    for rows, starts, sizes in names.Sieve(table, lengths).found(data, at):
+        got |= {(int(r), int(s - at[r]), c) for r, s, c in zip(rows, starts, names._cut_out(data, starts, sizes).to_pylist(), strict=True)}
+    got = {g for g in got if g[2] in words}
+    expected = {(i, len(t[:a].encode()), w) for i, t in enumerate(texts) if t for w in words for a in range(len(t)) if t.startswith(w, a)}
+    assert got == expected
