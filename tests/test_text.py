@@ -46,3 +46,16 @@ def test_page_labels(spark):
 def test_sentences_split_after_punctuation(spark):
     df = spark.createDataFrame([("One. Two!  Three? four.five",)], "s STRING")
     assert df.select(tx.sentences("s")).first()[0] == ["One.", "Two!", "Three?", "four.five"]
+
+
+def test_language_and_passage_read_each_text_once(spark):
+    """One pass for white space of each part and one for the letters of each alphabet, and the plain results."""
+    parts = ["", None, " \t", "one", " a  b\tc ", " wide  x ", "a\x1cb", "много текст", "Ёж and ab", "я z", "12 34"]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in parts for b in parts)], "i INT, section STRING, text STRING")
+    both = tx.passage_text("section", "text")
+    got = df.select("section", "text", both.alias("p"), tx.detect_language(both).alias("lang"))
+    assert got.select("lang")._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 4
+    for r in got.collect():
+        passage = "\n".join(p for p in (" ".join((v or "").split()) for v in (r.section, r.text)) if p)
+        cyrillic, latin = sum("Ѐ" <= c <= "ӿ" for c in passage), sum(c.isascii() and c.isalpha() for c in passage)
+        assert r.p == passage and r.lang == ("bg" if cyrillic > latin else "en" if latin > cyrillic else "mixed")
