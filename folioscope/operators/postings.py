@@ -20,6 +20,8 @@ from folioscope.session import durable
 BUCKETS = 64
 #: Chunks of one block, by their order.
 BLOCK = 1024
+#: Tokens of a corpus for which each bucket is dealt in one more part.
+PART_TOKENS = 1 << 26
 #: Blocks of a query that are scored before any is skipped.
 LEAD = 4
 #: Scores are rounded; a bound this much below the k-th score is still looked at.
@@ -36,19 +38,30 @@ def _bucket():
     return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
 
 
-def posting_rows(token_rows: DataFrame, avgdl: float) -> DataFrame:
-    """``bucket, term, fund, candidate_language, block, df, most, chunks`` from token rows (see ``lexical.token_table``)."""
+#: The terms of a chunk with how often it has each, from its tokens in order.
+_COUNTED = (
+    "flatten(transform(array(sort_array(tokens)), s -> flatten(transform("
+    "array(filter(slice(sequence(1, size(s) + 1), 1, size(s)), i -> i = 1 OR s[i - 1] <> s[i - 2])), "
+    "firsts -> transform(firsts, (i, k) -> named_struct('term', s[i - 1], 'tf', coalesce(get(firsts, k + 1), size(s) + 1) - i))))))"
+)
+
+
+def posting_rows(token_rows: DataFrame, avgdl: float, parts: int = 1) -> DataFrame:
+    """``bucket, term, fund, candidate_language, block, df, most, chunks`` from token rows (see ``lexical.token_table``).
+
+    A chunk's terms are counted in its row, and postings are moved once, to one of the ``parts`` of their bucket.
+    """
     tf = F.col("tf").cast("double")
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    counted = (
-        token_rows.select("chunk_ord", "fund", "candidate_language", "dl", F.explode("tokens").alias("term"))
-        .groupBy("chunk_ord", "fund", "candidate_language", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    blocks = counted.groupBy("term", "fund", "candidate_language", F.expr(f"chunk_ord div {BLOCK}").alias("block")).agg(
-        F.count("*").alias("df"), F.max(weight).alias("most"), F.collect_list(F.struct("chunk_ord", weight.alias("weight"))).alias("chunks")
-    )
-    return blocks.select(_bucket().alias("bucket"), "*")
+    block = F.expr(f"chunk_ord div {BLOCK}").alias("block")
+    counted = token_rows.selectExpr("chunk_ord", "fund", "candidate_language", "dl", f"inline({_COUNTED})")
+    each = counted.select(_bucket().alias("bucket"), "term", "fund", "candidate_language", block, "chunk_ord", weight.alias("weight"))
+    # blocks share out a term that most chunks have
+    part = F.pmod(F.hash("term", "block"), F.lit(parts)).cast("int").alias("part")
+    dealt = each.select(part, "*").repartition(BUCKETS * parts, "bucket", "part")
+    return dealt.groupBy("bucket", "part", "term", "fund", "candidate_language", "block").agg(
+        F.count("*").alias("df"), F.max("weight").alias("most"), F.collect_list(F.struct("chunk_ord", "weight")).alias("chunks")
+    ).drop("part")
 
 
 @dataclass
@@ -68,7 +81,7 @@ def save_lexical_index(token_rows: DataFrame, root: str) -> None:
     row = token_rows.sparkSession.read.parquet(f"{root}/lexical_totals").first()
     avgdl = (row["n_tokens"] or 0) / max(1, row["n_docs"])
     token_rows.select("chunk_ord", "fund", "candidate_language").write.mode("overwrite").parquet(f"{root}/lexical_owners")
-    dealt = posting_rows(token_rows, avgdl).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    dealt = posting_rows(token_rows, avgdl, 1 + (row["n_tokens"] or 0) // PART_TOKENS).sortWithinPartitions("bucket", "term", "block")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/lexical_postings")
     postings = token_rows.sparkSession.read.schema(POSTINGS).parquet(f"{root}/lexical_postings")
     df = postings.groupBy("term").agg(F.sum("df").alias("df"))

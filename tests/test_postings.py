@@ -57,3 +57,22 @@ def test_empty_index(spark, corpus, tmp_path):
     tokens, queries = corpus
     postings.save_lexical_index(tokens.limit(0), str(tmp_path))
     assert postings.stored_rank(postings.load_lexical_index(spark, str(tmp_path)), queries, 3).count() == 0
+
+
+def test_postings_move_once_and_count_every_term(spark, corpus, capsys):
+    """Terms are counted in the row of their chunk, so there is one shuffle; parts only deal them differently."""
+    from collections import Counter
+
+    tokens, _ = corpus
+    rows = tokens.collect()
+    expected = {(r.chunk_ord, w): n for r in rows for w, n in Counter(r.tokens).items()}
+    dl = {r.chunk_ord: r.dl for r in rows}
+    for parts in (1, 3):
+        got = postings.posting_rows(tokens, 20.0, parts)
+        got.explain()
+        assert capsys.readouterr().out.count("Exchange ") == 1
+        each = [(c.chunk_ord, p.term, c.weight, p.most, p.df, len(p.chunks)) for p in got.collect() for c in p.chunks]
+        assert len(each) == len(expected) and {e[:2] for e in each} == set(expected)
+        for k, term, weight, most, df, n in each:
+            tf = expected[k, term]
+            assert weight == pytest.approx(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl[k] / 20.0))) and weight <= most and df == n
