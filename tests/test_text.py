@@ -75,3 +75,15 @@ def test_folding_holds_few_values_as_objects():
     assert len(got) == 5002 and got[0].as_py() == ("some text " * 100).strip() and got[5000].as_py() == got[5001].as_py() == ""
     assert peak < 1_000_000
     assert len(tx._each(pa.array([], pa.string()), str, pa.string())) == 0
+
+
+def test_white_space_is_told_apart_by_two_ranges_first_at_every_code_point(spark):
+    near = F.col("c").rlike(f"^{tx.NEAR_SPACE}$")
+    points = spark.range(0x110000).where("id not between 55296 and 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    padded = points.select("id", "c", F.concat(F.lit("a"), "c", F.lit("b "), "c", "c", F.lit(" d")).alias("s"))
+    changed = padded.where((tx.squeeze("s") != F.col("s")) | (F.length("c") != 1)).select("id").collect()
+    assert {r.id for r in changed} >= {i for i in range(0x110000) if chr(i).isspace()}
+    got = padded.where(F.col("id").isin([r.id for r in changed])).select("c", "s", tx.squeeze("s").alias("q")).collect()
+    assert all(r.q == " ".join(r.s.split()) for r in got)
+    wide = f"[{tx.SPACE}]"
+    assert points.where(F.col("c").rlike(wide) & (F.col("c") != "\n") & ~near).count() == 0
