@@ -31,12 +31,15 @@ QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Words whose tokens a worker process keeps (about 24 bytes each); when there are more, it starts anew.
 KEPT = 3 << 19
+#: Words that go to the tokenizer as one text.
+JOINED = 1024
 
 
 class WordTokens:
     """Token ids of texts, by words: each distinct word goes to the tokenizer once. Words are told apart by 64-bit hashes.
 
     The tokenizer must drop white space, take words between blanks by themselves and not tell A-Z from a-z; others are refused.
+    If it also parts signs from letters, a sign that ends a word is a word of its own, so fewer words are distinct.
     """
 
     def __init__(self, path: str):
@@ -48,8 +51,16 @@ class WordTokens:
         if self._ids([" IT'S\tÉté \n\nA1! 'd ́x"])[0] != apart:
             raise ValueError(f"{path}: the tokens of a word depend on its case or on what stands around it")
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.parted = all(self._parts(letter + sign) for letter in ("a", "ab", "9", "é", "я") for sign in ".,;:!?")
+        mark = self._ids(["\x01"])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
+    def _parts(self, word: str) -> bool:
+        """Whether the last sign is a piece of its own that changes nothing before it."""
+        pieces = lambda w: [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(w)] if self.library.pre_tokenizer else [w]
+        return pieces(word) == pieces(word[:-1]) + pieces(word[-1]) and self._ids([word])[0] == [i for w in self._ids([word[:-1], word[-1]]) for i in w]
+
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -57,17 +68,35 @@ class WordTokens:
         self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.ids = np.zeros(0, self.kind)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = self._ids(texts)
+    def _of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row and how many each has. Some words go to the tokenizer as one text, with a mark after each."""
+        size = end - start
+        behind = np.cumsum(size + 3)
+        text = np.full(int(behind[-1]), ord(" "), np.uint8)
+        text[behind - 2] = 1
+        before = np.cumsum(size) - size
+        each = np.arange(int(size.sum()))
+        text[each + np.repeat(behind - 3 - size - before, size)] = data[each + np.repeat(start - before, size)]
+        cuts = [0, *behind[JOINED - 1 :: JOINED].tolist(), len(text)]
+        found = self._ids([text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:]) if a < b]) if self.mark is not None else []
+        ids = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) == len(size):
+            return ids[ids != self.mark].astype(self.kind), np.diff(marks, prepend=-1) - 1
+        found = self._ids([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start, end, strict=True)])  # a word has the mark itself
         sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        ids, sizes = self._of_words(data, start, end)
         begin = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         at = np.searchsorted(self.keys, hashes)
         self.keys, self.begin, self.size = np.insert(self.keys, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, sizes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``end_id``, and where each text's begin (one more than texts)."""
-        words = Words(data, offsets, BLANKS)
+        words = Words(data, offsets, BLANKS, self.parted)
         if len(self.keys) > KEPT or len(self.ids) > 8 * KEPT:
             self._clear()
         hashes, first, each = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -77,7 +106,7 @@ class WordTokens:
         new[inside] = self.keys[at[inside]] != hashes[inside]
         if new.any():
             places = first[new]
-            self._learn(hashes[new], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[places], words.end[places], strict=True)])
+            self._learn(hashes[new], data, words.start[places], words.end[places])
             at = np.searchsorted(self.keys, hashes)
         sizes = self.size[at].astype(np.int64)[each]
         before = np.concatenate([[0], np.cumsum(sizes)])

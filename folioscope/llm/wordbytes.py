@@ -110,10 +110,28 @@ def _gap(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, place: int) -
     return stop
 
 
+#: Signs that ``Words`` may cut from the end of a word.
+SIGNS = np.isin(np.arange(256), list(b".,;:!?"))
+_PLAIN = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+
+
+def _parted(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with the last sign of each as a word of its own, where a digit, a basic or Latin-1 letter or one of U+0400-U+047F is before it."""
+    some = np.flatnonzero((e - s > 1) & SIGNS[data[e - 1]])
+    last, before = data[e[some] - 2], np.where(e[some] - s[some] > 2, data[e[some] - 3], 0)
+    letter = _PLAIN[last] | (before == 0xC3) & (last != 0x97) & (last != 0xB7) & (last >= 0x80) | (before >> 1 == 0x68) & (last >= 0x80)
+    some = some[letter]
+    cut = e[some] - 1
+    return np.insert(s, some + 1, cut), np.insert(e, some, cut)
+
+
 class Words:
-    """``start``, ``end`` (byte places), ``hash`` of every word and ``first``: per text, the index of its first word (plus an end)."""
+    """``start``, ``end`` (byte places), ``hash`` of every word and ``first``: per text, the index of its first word (plus an end).
+
+    With ``parted`` a sign at the end of a word, behind a letter or digit, is a word of its own.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, parted: bool = False):
         if offsets[0] != 0 or offsets[-1] != len(data):
             raise ValueError(f"offsets run from {offsets[0]} to {offsets[-1]}, not over all {len(data)} bytes")
         starts, ends, hashes = [], [], []
@@ -130,6 +148,8 @@ class Words:
             finish = inside.copy()
             finish[:-1] &= ~inside[1:] | cut[1:-1]
             s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+            if parted:
+                s, e = _parted(data[lo:hi], s, e)
             up, down = _POWERS.upto(hi - lo)
             total = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum(values * up[: hi - lo], out=total[1:])

@@ -200,6 +200,20 @@ def library():
     return Tokenizer.from_file(WORDS)
 
 
+def test_signs_behind_letters_are_learned_once(library):
+    """Words that differ by a last sign share what is learned, and marks between words never change ids, also if a text has them."""
+    texts = ["Aé. aé, aé; aé! aé? aé: aé", "9. × ×. ÷, .. a.. …. я, 中. b\x01 \x01 \x01. 's. 't, a's. '.", "", ". , é.", "x" * 3 + ". " + "ÿ! " * 3000]
+    words = retrieval_packing.WordTokens(WORDS)
+    data, offsets = byte_view(pa.array(texts[:1]))
+    words.encode(data, offsets, 2)
+    assert len(words.keys) == 7  # one word and six signs
+    for part in (texts, texts[2:]):
+        data, offsets = byte_view(pa.array(part))
+        ids, begins = words.encode(data, offsets, 2)
+        for k, text in enumerate(part):
+            assert ids[begins[k] : begins[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_word_tokens(library):
     texts = ["It's HERE  now", None, "", "É́té  x y ΣΑΣ Σ", "a<|endoftext|>b <|startoftext|>", "́ mark", "x" * 3000, "\x00\x1c tab\x85", "naïve 日本語 12345 'll", "It's HERE  now"]
     words = retrieval_packing.WordTokens(WORDS)
