@@ -123,6 +123,16 @@ def test_incidence_large_groups(spark, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute_sets(rows)
 
 
+def test_crowded_columns_are_counted_before_anything_moves(spark, monkeypatch):
+    monkeypatch.setattr(incidence, "RUN", 200)
+    entries = spark.range(0, 3000, numPartitions=3).selectExpr("if(id % 3 = 0, 7L, if(id % 100 = 1, 8L, 1000 + id)) h", "id mark", "1 n")
+    assert [tuple(r) for r in incidence._crowded(entries).collect()] == [(7, 1000)]  # 8 has 20 entries
+    singles = entries.where("h > 8")
+    assert incidence._crowded(singles).count() == 0
+    moved = singles.mapInArrow(lambda batches: batches, "h long, mark long, n int")  # what a task counts once stays in it
+    assert incidence._crowded(moved.union(entries.where("h = 7"))).collect()[0]["rows"] == 1000
+
+
 def test_incidence_null_ids_and_repeats(spark):
     text = " ".join(f"k{j}" for j in range(20))
     got = incidence.similar_sets(spark.createDataFrame([(None, text), (4, text), (4, text), (2, text)], "doc_id long, text string")).collect()
