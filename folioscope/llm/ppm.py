@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,77 +159,95 @@ def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _trie(keys: np.ndarray, counts: np.ndarray, symbols: np.ndarray) -> dict:
-    """Log10 tables of the trie with these leaves.
+    """Log10 tables of the trie with these leaves, their keys ascending.
 
-    ``grams[j]``: (context of j bytes and symbol, log count). ``contexts[j]``: contexts of j bytes with log
-    total and log escape, alone and as what a longer context of the same text leaves of the next shorter one.
+    ``leaves``: hash table of the log probability of each leaf. ``grams[j]`` of the shorter contexts: (context of
+    j bytes and symbol, log count). ``contexts[j]``: contexts of j bytes with log total and log escape, alone and as
+    what a longer context of the same text leaves of the next shorter one. Levels are made one after the other,
+    and only the counts of the one before are held.
     """
-    grams = [_suffix_counts(keys, counts, j + 1) if len(keys) else (keys, counts) for j in range(ORDER + 1)]
     seen = np.flatnonzero(symbols).astype(np.uint64)
-    grams[0] = (seen, symbols[symbols > 0])
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
     contexts: list[dict] = []
+    below: tuple = ()
     with np.errstate(divide="ignore"):
         for j in range(ORDER + 1):
-            own, n = grams[j]
+            if j == 0:
+                own, n = seen, symbols[symbols > 0]
+            else:
+                own, n = _suffix_counts(keys, counts, j + 1) if len(keys) and j < ORDER else (keys, counts)
             context = own >> np.uint64(8)
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(own) else np.zeros(0, np.int64)
+            context = context[first]
             total = np.add.reduceat(n, first) if len(first) else n
             kinds = np.diff(np.append(first, len(own)))
-            level = {"keys": context[first], "total": total, "kinds": kinds, "all": np.log10(2 * total), "escape": np.log10(kinds) - np.log10(2 * total)}
+            all_ = np.log10(2 * total)
+            level = {"keys": context, "escape": np.log10(kinds) - all_}
             if j:
-                shorter = _at(grams[j - 1][0], own & np.uint64((1 << 8 * j) - 1))
-                offered = np.add.reduceat(grams[j - 1][1][shorter], first) if len(first) else n
-                above = contexts[j - 1]
-                parent = _at(above["keys"], level["keys"] & np.uint64((1 << 8 * (j - 1)) - 1))
-                left_kinds = above["kinds"][parent] - kinds
-                left = above["total"][parent] - offered
+                short_own, short_n, short_context, short_total, short_kinds = below
+                offered = short_n[_at(short_own, own & np.uint64((1 << 8 * j) - 1))]
+                offered = np.add.reduceat(offered, first) if len(first) else n
+                parent = _at(short_context, context & np.uint64((1 << 8 * (j - 1)) - 1))
+                left_kinds = short_kinds[parent] - kinds
+                left = short_total[parent] - offered
                 level["left_all"] = np.log10(np.maximum(2 * left, 1))
                 level["left_escape"] = np.where(left_kinds > 0, np.log10(np.maximum(left_kinds, 1)) - level["left_all"], 0.0)
+                del offered, parent, left_kinds, left
             contexts.append(level)
-    keep = ("keys", "all", "escape", "left_all", "left_escape")
-    return {
-        "grams": [(own, np.log10(2 * n - 1)) for own, n in grams],
-        "contexts": [{k: v for k, v in level.items() if k in keep} for level in contexts],
-        "last": -math.log10(SYMBOLS - len(seen)) if len(seen) < SYMBOLS else 0.0,
-    }
+            if j < ORDER:
+                level["all"] = all_
+                grams.append((own, np.log10(2 * n - 1)))
+                below = own, n, context, total, kinds
+        below = ()
+        value = np.log10(2 * counts - 1)
+    value -= np.repeat(all_, kinds)
+    del first, context, total, all_, kinds
+    return {"leaves": hash_table(keys, value), "grams": grams, "contexts": contexts, "last": -math.log10(SYMBOLS - len(seen)) if len(seen) < SYMBOLS else 0.0}
+
+
+def _trie_of(leaves: pa.Table, symbols: np.ndarray) -> dict:
+    """``_trie`` of the leaves (key, n), in any order."""
+    keys = np.asarray(leaves["key"]).view(np.uint64)
+    order = np.argsort(keys)
+    return _trie(keys[order], np.asarray(leaves["n"])[order], symbols)
 
 
 def _escaped(trie: dict, keys: np.ndarray) -> np.ndarray:
-    """Log10 probability of symbols, by the walk from the longest context to the empty one."""
+    """Log10 probability of symbols that are no leaf, by the walk from the longest context to the empty one."""
     out = np.zeros(len(keys))
     rest, child = np.arange(len(keys)), np.full(len(keys), -1)
     for j in range(ORDER, -1, -1):
-        own, count = trie["grams"][j]
         level = trie["contexts"][j]
         key = keys[rest] & np.uint64((1 << 8 * (j + 1)) - 1)
         context = _at(level["keys"], key >> np.uint64(8))
         known, below = context >= 0, child >= 0
-        gram = _at(own, key)
         alone, after = known & ~below, known & below
-        deeper = trie["contexts"][j + 1] if j < ORDER else None
         value = np.zeros(len(rest))
-        hit = gram >= 0
-        value[hit] = count[gram[hit]]
-        value[hit & alone] -= level["all"][context[hit & alone]]
-        value[~hit & alone] = level["escape"][context[~hit & alone]]
-        if deeper is not None:
+        hit = np.zeros(len(rest), bool)
+        if j < ORDER:
+            own, count = trie["grams"][j]
+            gram = _at(own, key)
+            hit = gram >= 0
+            value[hit] = count[gram[hit]]
+            value[hit & alone] -= level["all"][context[hit & alone]]
+            deeper = trie["contexts"][j + 1]
             value[hit & after] -= deeper["left_all"][child[hit & after]]
             value[~hit & after] = deeper["left_escape"][child[~hit & after]]
+        value[~hit & alone] = level["escape"][context[~hit & alone]]
         out[rest] += value
         rest, child = rest[~hit], np.where(known, context, -1)[~hit]
     out[rest] += trie["last"]
     return out
 
 
-def _scored(docs: DataFrame, text_column: str, trie: dict, words: tuple[np.ndarray, np.ndarray] | None, last_bytes: np.ndarray) -> DataFrame:
-    """Add to ``score`` what symbols after the context bytes ``last_bytes`` give, and with ``words`` the tokens' sums."""
-    leaves = hash_table(trie["grams"][ORDER][0], trie["grams"][ORDER][1] - _leaf_totals(trie))
-    told = docs.sparkSession.sparkContext.broadcast((trie, leaves, hash_table(*words) if words else None, last_bytes))
+def _scored(docs: DataFrame, text_column: str, trie: dict, words: tuple[np.ndarray, np.ndarray] | None, last_bytes: np.ndarray) -> tuple[DataFrame, Broadcast]:
+    """Add to ``score`` what symbols after the context bytes ``last_bytes`` give, and with ``words`` the tokens' sums; and what is told to all tasks."""
+    told = docs.sparkSession.sparkContext.broadcast((trie, hash_table(*words) if words else None, last_bytes))
     names = docs.columns
     texts, score = names.index(text_column), names.index("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, leaves, words, last_bytes = told.value
+        trie, words, last_bytes = told.value
         for batch in batches:
             data, offsets = byte_view(batch.column(texts))
             columns = list(batch.columns)
@@ -237,7 +256,7 @@ def _scored(docs: DataFrame, text_column: str, trie: dict, words: tuple[np.ndarr
                 keys, first = _runs(piece, begins)
                 mine = last_bytes[(keys >> np.uint64(8)).astype(np.uint8)]
                 value = np.zeros(len(keys))
-                found, leaf = find(leaves, keys)
+                found, leaf = find(trie["leaves"], keys)
                 value[found] = leaf[found]
                 odd = ~found & mine
                 value[odd] = _escaped(trie, keys[odd])
@@ -263,13 +282,7 @@ def _scored(docs: DataFrame, text_column: str, trie: dict, words: tuple[np.ndarr
                     columns[names.index("rare")] = pa.concat_arrays(rare).cast(batch.schema.field("rare").type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _leaf_totals(trie: dict) -> np.ndarray:
-    own = trie["grams"][ORDER][0]
-    level = trie["contexts"][ORDER]
-    return level["all"][_at(level["keys"], own >> np.uint64(8))]
+    return docs.mapInArrow(run, docs.schema), told
 
 
 def _passes(model: Model, leaves_told: int) -> list[np.ndarray]:
@@ -305,14 +318,11 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", leaves_told:
     passes = _passes(model, leaves_told)
     for k, last_bytes in enumerate(passes):
         own = leaves if len(passes) == 1 else leaves.where((F.shiftrightunsigned("key", 8) % 256).isin(np.flatnonzero(last_bytes).tolist()))
-        own = own.select("key", "n").toArrow()
-        keys = np.asarray(own["key"]).view(np.uint64)
-        order = np.argsort(keys)
-        trie = _trie(keys[order], np.asarray(own["n"])[order], model.symbols)
-        after = _scored(state, text_column, trie, words if k == 0 else None, last_bytes)
+        after, told = _scored(state, text_column, _trie_of(own.select("key", "n").toArrow(), model.symbols), words if k == 0 else None, last_bytes)
         if k == len(passes) - 1:
             after = after.drop(text_column)
         before, state = state, durable(after.withColumn("row", F.monotonically_increasing_id()) if k == len(passes) - 1 else after)
+        told.destroy()
         if k:
             discard(before)
     log_all = math.log10(model.tokens + model.distinct + 1)

@@ -5,21 +5,24 @@ from __future__ import annotations
 import numpy as np
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Keys put in at once.
+_AT_ONCE = 1 << 18
 
 
 def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An open-addressing hash table of two arrays, at most half full."""
+    """An open-addressing hash table of two arrays, at most half full, filled some keys at a time: what is needed besides is small."""
     bits = max(4, int(2 * len(keys)).bit_length())
     slots, held = np.full(1 << bits, _EMPTY), np.zeros(1 << bits)
-    rest = np.arange(len(keys))
-    slot = _slot(keys, bits)
-    while len(rest):
-        free = slots[slot] == _EMPTY
-        take, first = np.unique(slot[free], return_index=True)
-        chosen = rest[free][first]
-        slots[take], held[take] = keys[chosen], values[chosen]
-        left = slots[slot] != keys[rest]
-        rest, slot = rest[left], (slot[left] + 1) & ((1 << bits) - 1)
+    for at in range(0, len(keys), _AT_ONCE):
+        rest = np.arange(at, min(at + _AT_ONCE, len(keys)))
+        slot = _slot(keys[rest], bits)
+        while len(rest):
+            free = slots[slot] == _EMPTY
+            take, first = np.unique(slot[free], return_index=True)
+            chosen = rest[free][first]
+            slots[take], held[take] = keys[chosen], values[chosen]
+            left = slots[slot] != keys[rest]
+            rest, slot = rest[left], (slot[left] + 1) & ((1 << bits) - 1)
     return slots, held
 
 

@@ -1,12 +1,15 @@
 """Cases in which operators once did less than the whole job."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import html_paths, ppm, vector_passes
+from folioscope.llm.tables import find
 from folioscope.llm.wordbytes import BLANKS, Words
 
 
@@ -101,3 +104,22 @@ def test_words_take_whole_bytes_only():
         Words(data, offsets[:2], BLANKS)
     with pytest.raises(ValueError, match="not over all"):
         Words(data, offsets[1:], BLANKS)
+
+
+def test_driver_holds_one_level_of_the_trie_at_a_time():
+    rng = np.random.default_rng(5)
+    text = rng.choice(np.frombuffer(b"etaoinshrdlucmfw ", np.uint8), 2_000_000)
+    keys, n = np.unique(ppm._runs(text, np.arange(0, len(text) + 1, 500))[0], return_counts=True)
+    symbols = np.bincount((keys & np.uint64(255)).astype(int), n, 256).astype(np.int64)
+    place = rng.permutation(len(keys))
+    leaves = pa.table({"key": keys[place].view(np.int64), "n": n[place]})
+    tracemalloc.start()
+    trie = ppm._trie_of(leaves, symbols)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 125 * len(keys)  # 143 when all levels were held with the counts behind them
+    found, value = find(trie["leaves"], keys)
+    context = keys >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys))))
+    assert found.all() and np.allclose(value, np.log10((2 * n - 1) / (2 * total)), rtol=0, atol=1e-12)
