@@ -87,3 +87,36 @@ def test_white_space_is_told_apart_by_two_ranges_first_at_every_code_point(spark
     assert all(r.q == " ".join(r.s.split()) for r in got)
     wide = f"[{tx.SPACE}]"
     assert points.where(F.col("c").rlike(wide) & (F.col("c") != "\n") & ~near).count() == 0
+
+
+def test_a_folded_column_is_folded_once_whatever_is_asked_of_it(spark):
+    df = spark.createDataFrame([(s,) for s in SAMPLES], "s STRING").withColumn("a", F.array("s"))
+    known = spark.createDataFrame([("straße nr. 5".casefold(),), ("",)], "p STRING")
+    folded = df.select(tx.fold_plain("s").alias("p"), tx.fold_labels("a").alias("f"), "s")
+    kept = folded.where("p <> '' and p like '%5' and f[0] is not null").join(known, "p")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # 2 when filters were pushed below the folding
+    assert [r.s for r in kept.collect()] == [SAMPLES[1]]
+
+
+def test_workers_fold_and_find_names_without_pandas():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import sys
+import numpy as np, pyarrow as pa
+from folioscope.functions import arrow, text
+from folioscope.operators import names
+given = arrow.text_lists([["Ab ", ""], None, [], ["\\u00e9"]])
+assert given.to_pylist() == [["Ab ", ""], None, [], ["\\u00e9"]] and given[1:].to_pylist() == [None, [], ["\\u00e9"]]
+got = text._each(given, lambda r: None if r is None else [text._fold(v, " ") for v in r], pa.list_(pa.string()))
+assert got.to_pylist() == [["ab", ""], None, [], ["\\u00e9"]] and got.type == pa.list_(pa.string())
+assert text._each(given.values, lambda v: text._fold(v, " "), pa.string()).to_pylist() == ["ab", "", "\\u00e9"]
+data, at = names._utf8(given.values)
+assert bytes(data).decode() == "Ab \\u00e9" and at.tolist() == [0, 3, 3, 5]
+assert arrow.numbers(np.arange(6)[::2]).to_pylist() == [0, 2, 4] and not len(arrow.texts([]))
+assert "pandas" not in sys.modules
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
