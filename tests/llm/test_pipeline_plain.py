@@ -273,6 +273,35 @@ def test_rows_of_one_id_have_their_own_fate(spark):
     assert incidence.one_of_each(hot).count() == 1
 
 
+def test_only_rows_that_may_go_are_shuffled_with_their_texts(spark, tmp_path, monkeypatch):
+    """Rows that no join has to decide on stay in the task that reads them, also where the joins are too large to broadcast."""
+    rows = [(k, " ".join(f"w{k}_{j}" for j in range(30)), "x") for k in range(400)]
+    rows += [(1000 + k, rows[k][1], "copy") for k in range(5)] + [(7, rows[7][1], "again"), (8, None, "null"), (None, rows[9][1], "no id"), (None, "", "empty")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = incidence.one_of_each(docs)
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in kept.collect())
+        nodes, shuffled = [kept._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+            names = [c.name() for c in (node.output().apply(k) for k in range(node.output().size()))]
+            if node.nodeName() == "Exchange" and "text" in names:
+                shuffled.append(node.metrics().apply("shuffleRecordsWritten").value())
+        assert got == sorted([(r[0], r[1]) for r in rows[:400]] + [(8, ""), (-1, "")])
+        assert shuffled and sum(shuffled) <= 20
+        with monkeypatch.context() as m:  # a sieve that catches everything leaves it all to the joins
+            m.setattr(incidence, "SIEVE", 64)
+            again = incidence.one_of_each(docs)
+            assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in again.collect()) == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_targets_that_contradict_are_told(spark):
     cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
     with pytest.warns(UserWarning, match="marginal"):
