@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import SPACE, fold_label, fold_labels, label
+from folioscope.functions.text import LABEL_EDGES, SPACE, fold_label, fold_labels, label
 from folioscope.operators.ordered import carry_forward, page_bucket
 from folioscope.session import durable
 
@@ -38,6 +38,9 @@ LABEL = (
     r"продукт|име\s+на\s+(?:фонда|подфонда)|"
     r"наименование\s+на\s+(?:фонда|подфонда))\s*:?\s*(.*)$"
 )
+# Necessary conditions on blocks that are not cleaned yet: of being more than blank, of LABEL (its first word).
+NOT_BLANK = rf"[^{SPACE}{LABEL_EDGES}]"
+LABEL_WORD = rf"(?iU)\A[{SPACE}{LABEL_EDGES}]*(?:product|fund|sub|продукт|име|наименование)"
 BAD_NAMES = (
     "summary", "резюме", "обобщение", "prospectus", "проспект", "selected strategy",
     "basic details", "introduction", "product", "продукт", "name", "име",
@@ -119,22 +122,15 @@ def relation_candidates(
     return found
 
 
-def cleaned_blocks(blocks: Column) -> Column:
-    """Blocks with cleaned text, blanks dropped (positions are those after dropping)."""
-    cleaned = F.transform(
-        F.coalesce(blocks, F.array().cast("array<struct<text:string,bbox:array<double>,font_size:double,bold:boolean>>")),
-        lambda b: F.struct(
-            label(b["text"]).alias("text"), b["font_size"].alias("font_size"),
-            F.coalesce(b["bold"], F.lit(False)).alias("bold"),
-        ),
-    )
-    return F.filter(cleaned, lambda b: b["text"] != "")
+def filled_blocks(blocks: Column) -> Column:
+    """Blocks that cleaning leaves some text of; positions count these. Their texts are not cleaned."""
+    return F.filter(blocks, lambda b: b["text"].rlike(NOT_BLANK))
 
 
 def label_candidates(pages: DataFrame) -> DataFrame:
     """``Product name: X`` labels; an empty label takes the next block of the page."""
-    blocks = pages.select("document", "page", cleaned_blocks(F.col("text_blocks")).alias("b"))
-    hits = F.filter(
+    blocks = pages.select("document", "page", filled_blocks(F.col("text_blocks")).alias("b"))
+    near = F.filter(
         F.transform(
             "b",
             lambda b, i: F.struct(
@@ -142,8 +138,17 @@ def label_candidates(pages: DataFrame) -> DataFrame:
                 F.get(F.col("b"), i + 1)["text"].alias("following"),
             ),
         ),
-        lambda h: h["text"].rlike(LABEL),
+        lambda h: h["text"].rlike(LABEL_WORD),
     )
+    # only blocks that begin like a label, and those that follow them, are cleaned
+    cleaned = F.transform(
+        near,
+        lambda h: F.struct(
+            h["pos"].alias("pos"), label(h["text"]).alias("text"),
+            F.when(h["following"].isNotNull(), label(h["following"])).alias("following"),
+        ),
+    )
+    hits = F.filter(cleaned, lambda h: h["text"].rlike(LABEL))
     rows = blocks.select("document", "page", F.explode(hits).alias("h")).select(
         "document", "page", "h.*", label(F.regexp_extract("h.text", LABEL, 1)).alias("value")
     )
@@ -172,11 +177,21 @@ def title_candidates(pages: DataFrame) -> DataFrame:
     first_pages = pages.filter(
         (F.col("page") == 1) & F.coalesce("text", F.lit("")).rlike(rf'\A[{SPACE}]*[„"]')
     )
-    blocks = first_pages.select("document", "page", cleaned_blocks(F.col("text_blocks")).alias("b"))
-    sizes = F.filter(F.transform("b", lambda b: b["font_size"]), lambda s: s.isNotNull() & (s != 0))
+    filled = filled_blocks(F.col("text_blocks"))
+    cleaned = F.transform(
+        F.slice(filled, 1, 4),
+        lambda b: F.struct(
+            label(b["text"]).alias("text"), b["font_size"].alias("font_size"), F.coalesce(b["bold"], F.lit(False)).alias("bold")
+        ),
+    )
+    sizes = F.filter(F.transform(filled, lambda b: b["font_size"]), lambda s: s.isNotNull() & (s != 0))
+    # one element exploded: a filter below would else be pushed past the cleaning and clean the blocks again for each thing it asks
+    blocks = first_pages.select(
+        "document", "page", F.explode(F.array(F.struct(cleaned.alias("b"), sizes.alias("sizes")))).alias("p")
+    ).select("document", "page", "p.*")
     rows = blocks.filter(F.size("b") > 0).select(
-        "document", "page", F.element_at("b", 1).alias("top"), array_median(sizes).alias("body"),
-        F.array_join(F.transform(F.slice("b", 1, 4), lambda b: b["text"]), " ").alias("nearby"),
+        "document", "page", F.element_at("b", 1).alias("top"), array_median(F.col("sizes")).alias("body"),
+        F.array_join(F.transform("b", lambda b: b["text"]), " ").alias("nearby"),
     )
     prominent = F.col("top.bold") | F.coalesce(F.col("top.font_size") >= F.col("body") * 1.25, F.lit(False))
     return rows.filter(
