@@ -190,7 +190,7 @@ def title_candidates(pages: DataFrame) -> DataFrame:
         "document", "page", F.explode(F.array(F.struct(cleaned.alias("b"), sizes.alias("sizes")))).alias("p")
     ).select("document", "page", "p.*")
     rows = blocks.filter(F.size("b") > 0).select(
-        "document", "page", F.element_at("b", 1).alias("top"), array_median(F.col("sizes")).alias("body"),
+        "document", "page", F.get("b", F.lit(0)).alias("top"), array_median(F.col("sizes")).alias("body"),
         F.array_join(F.transform("b", lambda b: b["text"]), " ").alias("nearby"),
     )
     prominent = F.col("top.bold") | F.coalesce(F.col("top.font_size") >= F.col("body") * 1.25, F.lit(False))
